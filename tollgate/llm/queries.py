@@ -15,13 +15,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), width=50, digest=True)
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.llm.packfile import token_files
+
+    return token_files(_table(spark, sf_dir, "documents"), end_id=0)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.llm.binpack import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tollgate.llm.suffixes import suffix_dedup
 
     return suffix_dedup(_table(spark, sf_dir, "documents"), length=400, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op8_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op7_best_fit_packing, op8_suffix_array_dedup)}
 
 #: None of these is expressible in plain SQL at whole-table scale; see tests/llm for the brute-force checks.
 ORACLE_SQL: dict[str, str] = {}
