@@ -33,7 +33,19 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), length=400, digest=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op7_best_fit_packing, op8_suffix_array_dedup)}
+def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.llm.lm import lattice_scores
+
+    return lattice_scores(_table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=5, threshold=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op7_best_fit_packing, op8_suffix_array_dedup, op9_lattice_likelihood, op10_minhash_near_dedup)}
 
 #: None of these is expressible in plain SQL at whole-table scale; see tests/llm for the brute-force checks.
 ORACLE_SQL: dict[str, str] = {}
