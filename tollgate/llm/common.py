@@ -68,14 +68,14 @@ def remove(df: DataFrame) -> None:
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for hash-dealt blocks: three per shuffle partition, more if the
+    """Buckets for hash-dealt blocks: one per shuffle partition, more if the
     estimated size asks for it; grows with the input, so that a bucket doesn't."""
     try:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # statistics are advisory
         size = 0
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(3 * partitions, min(size // BUCKET_BYTES, 1 << 22))
+    return max(partitions, min(size // BUCKET_BYTES, 1 << 22))
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

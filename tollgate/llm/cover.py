@@ -238,28 +238,40 @@ def _read_regions(block: bytes):
     return decode(block, np.int64, np.uint32, np.uint32, np.int64, np.uint8)
 
 
+def _merged_regions(batches, limit: int):
+    """The stretches of many small blocks together, up to ``limit`` symbols or one block."""
+    waiting, held = [], 0
+    for batch in batches:
+        for block in batch.column("block").to_pylist():
+            waiting.append(_read_regions(block))
+            held += int(waiting[-1][2].sum())
+            if held >= limit:
+                yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting, held = [], 0
+    if waiting:
+        yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+
+
 def _windows(regions: DataFrame, rule: Rule, n: int, turn: int) -> DataFrame:
     """Positions of the stretches' windows that do not count as repeated, for one range of keys."""
 
     def emit(batches):
         from tollgate.llm.symbols import Windows
 
-        for batch in batches:
-            for block in batch.column("block").to_pylist():
-                ids, start, count, length, data = _read_regions(block)
-                offsets = np.concatenate([[0], np.cumsum(length)])
-                for lo, hi in ranges(np.concatenate([[0], np.cumsum(count, dtype=np.int64)]), rule.chunk):
-                    symbols, first, _ = rule.alphabet.symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                    many = np.diff(first) - rule.width + 1
-                    piece = np.repeat(np.arange(hi - lo), many)
-                    pos = np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
-                    at = first[piece] + pos
-                    key = Windows(symbols)(at, rule.width)
-                    if rule.passes > 1:
-                        own = np.flatnonzero((((key & np.uint64(0xFFFF)) * np.uint64(rule.passes)) >> np.uint64(16)) == turn)
-                        key, piece, pos, at = key[own], piece[own], pos[own], at[own]
-                    check = (Windows(symbols, 1)(at, rule.width) >> np.uint64(32)).astype(np.uint32)
-                    yield from reduced(key, check, ids[lo:hi][piece], pos + start[lo:hi][piece])
+        for ids, start, count, length, data in _merged_regions(batches, rule.chunk):
+            offsets = np.concatenate([[0], np.cumsum(length)])
+            for lo, hi in ranges(np.concatenate([[0], np.cumsum(count, dtype=np.int64)]), rule.chunk):
+                symbols, first, _ = rule.alphabet.symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                many = np.diff(first) - rule.width + 1
+                piece = np.repeat(np.arange(hi - lo), many)
+                pos = np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
+                at = first[piece] + pos
+                key = Windows(symbols)(at, rule.width)
+                if rule.passes > 1:
+                    own = np.flatnonzero((((key & np.uint64(0xFFFF)) * np.uint64(rule.passes)) >> np.uint64(16)) == turn)
+                    key, piece, pos, at = key[own], piece[own], pos[own], at[own]
+                check = (Windows(symbols, 1)(at, rule.width) >> np.uint64(32)).astype(np.uint32)
+                yield from reduced(key, check, ids[lo:hi][piece], pos + start[lo:hi][piece])
 
     def reduced(key, check, doc, pos):
         if not len(key):

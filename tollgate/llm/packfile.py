@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     name of its own and then renamed, so a repeated task does no harm.
     """
     tokenizer = tokenizer or default_path()
-    parts = max(1, bucket_count(docs) // 3)
+    parts = bucket_count(docs)
     ordered = documents(docs, id_col, text_col).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def save(batches):

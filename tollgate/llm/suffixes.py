@@ -15,7 +15,7 @@ from tollgate.llm.symbols import Bytes
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, text string"
 
 
-def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 13, passes: int = 4, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 13, passes: int = 3, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts
     anywhere else, in the same document or another.
 
