@@ -21,6 +21,18 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), end_id=0)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.llm.pages import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tollgate.llm.binpack import pack_documents
 
@@ -45,7 +57,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op7_best_fit_packing, op8_suffix_array_dedup, op9_lattice_likelihood, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op3_html_extraction, op4_toxicity, op7_best_fit_packing, op8_suffix_array_dedup, op9_lattice_likelihood, op10_minhash_near_dedup)}
 
 #: None of these is expressible in plain SQL at whole-table scale; see tests/llm for the brute-force checks.
 ORACLE_SQL: dict[str, str] = {}

@@ -21,13 +21,14 @@ _BASES = (0x5851F42D4C957F2D, 0xDA942042E4DD58B5)
 _BYTE_SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of all words ``[^\\x20\\x09-\\x0D]+``, and
-    the index of each document's first word (with the total at the end)."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of all words ``[^\\x20\\x09-\\x0D]+`` (or of
+    bytes that are no ``separator``), and the index of each document's first
+    word (with the total at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~separator[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first, last = word.copy(), word
