@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import NULL_ID, compress, documents, materialize, mix, ranges, text_columns
+from tollgate.llm.common import NULL_ID, compress, decompress, documents, materialize, mix, ranges, text_columns
 from tollgate.llm.graph import components
 from tollgate.llm.symbols import hash_words, word_spans
 
@@ -88,22 +88,24 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of the Jaccard similarity of the shingle sets and the
-    probability Jaccard of their weights; a and b are (hashes, counts)."""
-    every = np.unique(np.concatenate([a[0], b[0]]))
-    if not len(every):
+    probability Jaccard of their weights, which are the same where no shingle is
+    repeated; a and b are (hashes, counts)."""
+    if not len(a[0]) or not len(b[0]):
         return 0.0
+    every, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    plain = float((len(a[0]) + len(b[0]) - len(every)) / len(every))
+    if a[1].max() == 1 and b[1].max() == 1:
+        return plain
     x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[np.searchsorted(every, a[0])] = weights(a[1])
-    y[np.searchsorted(every, b[0])] = weights(b[1])
-    return max(float(((x > 0) & (y > 0)).sum() / len(every)), probability_jaccard(x, y))
+    x[back[: len(a[0])]], y[back[len(a[0]) :]] = weights(a[1]), weights(b[1])
+    return max(plain, probability_jaccard(x, y))
 
 
-SIGNS = "doc_id long, key_a long, key_b long, bands array<long>, sketch binary"
+SIGNS = "doc_id long, key_a long, key_b long, bands array<long>"
 
 
 def signatures(docs: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
-    """Per document: the key of its word sequence, band hashes (null without
-    words) and one byte of each component."""
+    """Per document: the key of its word sequence and its band hashes (null without words)."""
     k = bands * per_band
 
     def sign(batches):
@@ -120,8 +122,7 @@ def signatures(docs: DataFrame, size: int, bands: int, per_band: int) -> DataFra
                 none = np.bincount(doc, minlength=n) == 0
                 flat = pa.array(b.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat, mask=pa.array(none))
-                sketch = pa.array([x.tobytes() for x in s.astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, sketch], ["doc_id", "key_a", "key_b", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "key_a", "key_b", "bands"])
 
     return docs.mapInArrow(sign, SIGNS)
 
@@ -146,52 +147,84 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: float) ->
     both = left.join(bodies, left["b"] == bodies["doc_id"]).select("a", "b", "one", F.col("body").alias("two"))
 
     def compare(batches):
-        from tollgate.llm.common import decompress
-
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = []
-                for x in [*part.column("one").to_pylist(), *part.column("two").to_pylist()]:
-                    texts.append(decompress(x[8:], int.from_bytes(x[:8], "little")))
-                offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-                doc, h, count, _ = shingles(np.frombuffer(b"".join(texts), np.uint8), offsets, size)
-                cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-                own = [(h[a:b], count[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
                 n = part.num_rows
+                own = _shingled([*part.column("one").to_pylist(), *part.column("two").to_pylist()], size)
                 keep = np.array([similarity(own[i], own[n + i]) >= threshold for i in range(n)])
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"])
 
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _across(members: DataFrame, block: int, least: int) -> DataFrame:
-    """Pairs of one bucket's members with different labels whose sketches agree
-    enough. Members are dealt into blocks by hash, and each pair of blocks is
-    compared alone; members: band, doc, label, n (of the bucket), sketch."""
+def _shingled(bodies: list[bytes], size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of compressed texts."""
+    texts = [decompress(x[8:], int.from_bytes(x[:8], "little")) for x in bodies]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    doc, h, count, _ = shingles(np.frombuffer(b"".join(texts), np.uint8), offsets, size)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [(h[a:b], count[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _across(members: DataFrame, size: int, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that have different labels.
+
+    Members (band, doc, label, n of the bucket, body) are dealt into blocks by
+    hash, and each pair of blocks is compared alone: shared shingles of one
+    member with all others are counted at once. Of the links found, only those
+    that join two classes of the block are returned, fewer than its members.
+    """
     blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
     own = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc", F.lit(11)), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compare(t: pa.Table) -> pa.Table:
-        doc, label = t.column("doc").to_numpy(), t.column("label").to_numpy()
+        doc, label = t.column("doc").to_pylist(), t.column("label").to_numpy()
         mine, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(doc), -1)
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a, b = [], []
-        for x in left.tolist():
-            y = right[(label[right] != label[x]) & ((i != j) | (right > x))]
-            if len(y):
-                y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
-                a += [int(doc[x])] * len(y)
-                b += doc[y].tolist()
+        if len(np.unique(label)) > 1:
+            shingled = _shingled(t.column("body").to_pylist(), size)
+            length = np.array([len(h) for h, _ in shingled])
+            every, flat = np.unique(np.concatenate([h for h, _ in shingled]), return_inverse=True)
+            heads = np.cumsum(length) - length
+            repeated = np.array([int(c.max(initial=1)) > 1 for _, c in shingled])
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            mark = np.zeros(len(every), np.int32)
+            right = mine == j
+            for x in np.flatnonzero(mine == i).tolist():
+                # Only what no link has joined to x so far is worth counting.
+                y = np.flatnonzero(right & (label != label[x]) & ((i != j) | (np.arange(len(doc)) > x)))
+                # Sizes alone rule out what is too short or too long, but for repeated shingles.
+                near = (length[y] >= threshold * length[x]) & (length[x] >= threshold * length[y]) | repeated[y] | repeated[x]
+                y = y[near & (length[y] > 0)]
+                if not len(y):
+                    continue
+                mark[flat[heads[x] : heads[x] + length[x]]] = 1
+                shared = np.add.reduceat(mark[flat], heads[length > 0])[np.cumsum(length > 0)[y] - 1]
+                mark[flat[heads[x] : heads[x] + length[x]]] = 0
+                likeness = shared / (length[x] + length[y] - shared)
+                for k in np.flatnonzero((likeness >= threshold) | ((likeness >= 0.4) & (repeated[y] | repeated[x]))).tolist():
+                    z = int(y[k])
+                    p, q = root(int(label[x])), root(int(label[z]))
+                    if p != q and (likeness[k] >= threshold or similarity(shingled[x], shingled[z]) >= threshold):
+                        parent[p] = q
+                        a.append(doc[x])
+                        b.append(doc[z])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    pairs = dealt.select("band", "i", "j", "own", "doc", "label", "sketch").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
+    pairs = dealt.select("band", "i", "j", "own", "doc", "label", "body").groupBy("band", "i", "j").applyInArrow(compare, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 30, per_band: int = 5, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 30, per_band: int = 5, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class),
     class_size, keep (it is that smallest one).
 
@@ -214,7 +247,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     worded = signs.where("bands is not null")
     # Documents with the same words: the smallest id stands for all.
     heads = worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head"))
-    firsts = materialize(worded.join(heads, ["key_a", "key_b"]).where("doc_id = head").select("doc_id", "bands", "sketch").dropDuplicates(["doc_id"]), "firsts")
+    firsts = materialize(worded.join(heads, ["key_a", "key_b"]).where("doc_id = head").select("doc_id", "bands").dropDuplicates(["doc_id"]), "firsts")
     entries = firsts.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"))
     buckets = entries.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(entries.join(buckets, "band"), "members")
@@ -223,10 +256,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     labels = components(linked)
     labelled = members.join(labels, members["doc"] == labels["node"], "left").select("band", "doc", "n", F.coalesce("label", "doc").alias("label"))
     open_bands = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    unsettled = labelled.join(open_bands, "band").join(firsts.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
-    k = bands * per_band
-    least = int(threshold * k - 5 * (threshold * (1 - threshold) * k) ** 0.5)
-    more = materialize(verified(docs, _across(unsettled, block, least), size, threshold), "links")
+    unsettled = labelled.join(open_bands, "band").join(_bodies(docs).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "doc")
+    more = materialize(_across(unsettled, size, threshold, block), "links")
     labels = materialize(components(linked.unionByName(more)), "labels")
     whole = signs.select("doc_id", "key_a", "key_b", F.col("bands").isNotNull().alias("worded"))
     heads = heads.select("key_a", "key_b", "head", F.lit(True).alias("worded"))
