@@ -33,6 +33,21 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=4, fold=2, threshold=0.3)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tollgate.llm.decontam import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tollgate.llm.ann import nearest_neighbours
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tollgate.llm.binpack import pack_documents
 
@@ -57,7 +72,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=5, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op3_html_extraction, op4_toxicity, op7_best_fit_packing, op8_suffix_array_dedup, op9_lattice_likelihood, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_nearest_neighbours, op7_best_fit_packing, op8_suffix_array_dedup, op9_lattice_likelihood, op10_minhash_near_dedup)}
 
 #: None of these is expressible in plain SQL at whole-table scale; see tests/llm for the brute-force checks.
 ORACLE_SQL: dict[str, str] = {}
