@@ -62,7 +62,7 @@ def prob_minhash(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int
     time, turn = np.zeros(len(doc)), 0
     while len(doc):
         turn += 1
-        u = mix(h + np.uint64(turn) * _GOLD)
+        u = mix(h + np.uint64(turn * int(_GOLD) & (1 << 64) - 1))
         time = time - np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight
         slot = doc * k + (mix(u ^ _C) % np.uint64(k)).astype(np.int64)
         better = np.flatnonzero(time < first[slot])

@@ -252,27 +252,26 @@ def _collected(train: DataFrame, matcher: Matcher) -> list[tuple[int, int, list[
     return [(r.toxic, r.n, [(bytes(h.form), h.term, h.errors, h.quoted, [bytes(a) for a in h.around]) for h in r.hits]) for r in found.toLocalIterator()]
 
 
-SCORES = "doc_id long, held_out boolean, score double, predicted int"
-
-
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.3, sample: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted.
-
-    Learns from at most ``sample`` labelled documents (those with the least hash
-    of their id) among the ones whose crc32(id as text) mod ``folds`` is not
-    ``fold``: a lexicon of words and stems, which edited forms are harmless,
-    which words around a hit speak for or against abuse, and a logistic
-    regression over a document's hits. Scores depend on the text alone, all of
-    it. Terms are matched with one edit by an automaton; a hit in quotation
-    marks counts half.
-
-    Null or empty text scores like any text without hits. Null ids are scored,
-    and not learned from. Rows that share an id are scored one by one; an id
-    with several labels is toxic if one of them is. Without labels, or with one
-    kind only, the built-in terms alone decide. Other columns are ignored. An
-    empty table gives no rows.
-    """
-    docs = documents(docs, id_col, text_col)
+class Model:
+    """What was learned; scores depend on a text alone."""
+
+    def __init__(self, lexicon: dict[bytes, float], benign: frozenset, context: dict[bytes, float], w: np.ndarray):
+        self.lexicon, self.benign, self.context, self.w = lexicon, benign, context, w
+        self.matcher = Matcher(lexicon)
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Scores of a block of texts, 0 to 1."""
+        data, out = normalised(data), [np.zeros(0)]
+        for lo, hi in ranges(offsets, 4 << 20):
+            hits, n = self.matcher.hits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            x = np.array([features(h, int(k), self.benign, self.context, self.matcher.weight, self.matcher.stem_from) for h, k in zip(hits, n, strict=True)]).reshape(-1, FEATURES)
+            out.append(1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30))))
+        return np.concatenate(out)
+
+
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample: int = 40_000) -> Model:
+    """Fit on at most ``sample`` labelled documents (those with the least hash of
+    their id) among the ones whose crc32(id as text) mod ``folds`` is not ``fold``."""
     train = _training(docs, labels, folds, fold, sample)
     lexicon = learn_lexicon(train)
     matcher = Matcher(lexicon)
@@ -288,22 +287,56 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     support = max(5, len(known) // 2000)
     common = [w for w, _ in (around[0] + around[1]).most_common(2000) if around[0][w] + around[1][w] >= support]
     context = {w: 0.5 * (math.log((around[1][w] + 1) / (holders[1] + 2)) - math.log((around[0][w] + 1) / (holders[0] + 2))) for w in common} if min(sum(around[0].values()), sum(around[1].values())) else {}
-    weight, stem_from = matcher.weight, matcher.stem_from
     y = np.array([int(t == 1) for t, _, _ in known], float)
     if len(y) and 0 < y.sum() < len(y):
-        w = fit(np.array([features(h, n, benign, context, weight, stem_from) for _, n, h in known]), y)
+        w = fit(np.array([features(h, n, benign, context, matcher.weight, matcher.stem_from) for _, n, h in known]), y)
     else:
         w = np.array([-3.0, 3.0, 2.0, 2.0, -1.0, -0.5, 0.5, 1.0, 0.5, 1.0])
+    return Model(lexicon, benign, context, w)
+
+
+SCORES = "doc_id long, held_out boolean, score double, predicted int"
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.3, sample: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, score (0 to 1), predicted.
+
+    Learns (see :func:`learn`) a lexicon of words and stems, which edited forms
+    are harmless, which words around a hit speak for or against abuse, and a
+    logistic regression over a document's hits. Scores depend on the text alone,
+    all of it. Terms are matched with one edit by an automaton; a hit in
+    quotation marks counts half.
+
+    Null or empty text scores like any text without hits. Null ids are scored,
+    and not learned from. Rows that share an id are scored one by one; an id
+    with several labels is toxic if one of them is. Without labels, or with one
+    kind only, the built-in terms alone decide. Other columns are ignored. An
+    empty table gives no rows.
+    """
+    docs = documents(docs, id_col, text_col)
+    model = learn(docs, labels, folds, fold, sample)
 
     def run(batches):
         for batch in batches:
-            ids, data, offsets = _texts(batch)
-            for lo, hi in ranges(offsets, 4 << 20):
-                hits, n = matcher.hits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                x = np.array([features(h, int(k), benign, context, weight, stem_from) for h, k in zip(hits, n, strict=True)]).reshape(-1, FEATURES)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], ["doc_id", "score"])
+            ids, data, offsets = text_columns(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(model.scores(data, offsets))], ["doc_id", "score"])
 
     scored = docs.mapInArrow(run, "doc_id long, score double")
     own = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
     return scored.select(own.alias("doc_id"), "score").select("doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, fold: int = 2, sample: int = 40_000) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) that score below the
+    threshold, filtered where they are read."""
+    model = learn(documents(docs), labels, folds, fold, sample)
+
+    def run(batches):
+        for batch in batches:
+            own = pa.Table.from_batches([batch]).select(["doc_id", "text"])
+            _, data, offsets = text_columns(own)
+            yield batch.filter(pa.array(model.scores(data, offsets) < threshold))
+
+    typed = docs.withColumn("doc_id", docs["doc_id"].cast("long")).withColumn("text", docs["text"].cast("string"))
+    return typed.mapInArrow(run, typed.schema)
