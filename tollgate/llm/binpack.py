@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import NULL_ID, documents, materialize, nullable_ids
-from tollgate.llm.tokens import default_path, encoder, slices
+from tollgate.llm.common import documents, materialize, nullable_ids, ranges, text_columns
+from tollgate.llm.tokens import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -25,19 +25,21 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataF
     def cut(batches):
         coder = encoder(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).fill_null(NULL_ID).to_pylist(), batch.column(1).fill_null("").to_pylist()
-            for lo, hi in slices(texts):
+            ids, data, offsets = text_columns(batch)
+            for lo, hi in ranges(offsets, 2 << 20):
+                tokens, first = coder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                raw, at = memoryview(tokens.astype("<u4").tobytes()), first.tolist()
                 who, which, start, length, crc = [], [], [], [], []
-                for doc_id, raw in zip(ids[lo:hi], coder.encode(texts[lo:hi]), strict=True):
-                    raw = memoryview(raw + end)
-                    n = len(raw) // 4
+                for i, doc_id in enumerate(ids[lo:hi].tolist()):
+                    base, n = at[i], at[i + 1] - at[i] + 1
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                         who.append(doc_id)
                         which.append(k)
                         start.append(a)
                         length.append(b - a)
-                        crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                        own = zlib.crc32(raw[4 * (base + a) : 4 * (base + min(b, n - 1))])
+                        crc.append(zlib.crc32(end, own) if b == n else own)
                 yield pa.RecordBatch.from_arrays([nullable_ids(np.array(who, np.int64)), pa.array(which, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(cut, PIECES)

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import NULL_ID, bucket_count, documents, nullable_ids, rows, scratch
-from tollgate.llm.tokens import default_path, encoder, slices
+from tollgate.llm.common import bucket_count, documents, nullable_ids, ranges, rows, scratch, text_columns
+from tollgate.llm.tokens import default_path, encoder
 
 BLOCK = 4096
 MAGIC = b"TGPACK01"
@@ -72,6 +72,13 @@ class Writer:
         if self.held >= 16 * BLOCK:
             self._flush(self.held // BLOCK * BLOCK)
 
+    def add_end(self, ids: np.ndarray) -> None:
+        """More ids of the document added last."""
+        self.waiting.append(ids)
+        self.held += len(ids)
+        self.tokens += len(ids)
+        self.starts[-1] = self.tokens
+
     def _flush(self, count: int) -> None:
         ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32)
         body = pack(ids[:count], self.bits)
@@ -140,18 +147,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         with fs.open_output_stream(own) as stream:
             writer = Writer(stream, max(coder.size, end_id + 1))
             for batch in batches:
-                ids = batch.column(0).fill_null(NULL_ID).to_pylist()
-                texts = batch.column(1).fill_null("").to_pylist()
-                for lo, hi in slices(texts):
-                    for doc_id, raw in zip(ids[lo:hi], coder.encode(texts[lo:hi]), strict=True):
-                        writer.add(doc_id, np.append(np.frombuffer(raw, "<u4"), end))
+                ids, data, offsets = text_columns(batch)
+                for lo, hi in ranges(offsets, 2 << 20):
+                    tokens, first = coder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                    for i in range(hi - lo):
+                        writer.add(int(ids[lo + i]), tokens[first[i] : first[i + 1]])
+                        writer.add_end(end)
             writer.close()
         fs.move(own, final)
         yield rows(pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]), [part], [final.rsplit("/", 1)[-1]], [len(writer.ids)], [writer.tokens])
 
     spark = docs.sparkSession
-    manifest = ordered.mapInArrow(save, MANIFEST)
-    return spark.createDataFrame(manifest.collect(), MANIFEST)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1000")
+    try:
+        manifest = ordered.mapInArrow(save, MANIFEST).collect()
+    finally:
+        spark.conf.set(key, before)
+    return spark.createDataFrame(manifest, MANIFEST)
 
 
 DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
