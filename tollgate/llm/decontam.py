@@ -140,7 +140,14 @@ def _frequencies(places: DataFrame, n: int) -> tuple[np.ndarray, int]:
                 _, words, first, pos, term = _read(block)
                 at, start = _passages(first, words, pos, PASSAGE)
                 passages += int(start[-1])
-                total[:, 0] += np.bincount(np.unique(at * n + term) % n, minlength=n)
+                # A table of some passages by all terms, as large as memory allows.
+                step = max(1, (8 << 20) // max(n, 1))
+                cut = np.searchsorted(at, np.arange(0, int(start[-1]) + step, step))
+                for k, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
+                    if hi > lo:
+                        have = np.zeros((int(at[hi - 1]) - k * step + 1, n), bool)
+                        have[at[lo:hi] - k * step, term[lo:hi]] = True
+                        total[:, 0] += have.sum(axis=0)
         yield _emit(np.concatenate([total, [[passages]]]))
 
     sums = _whole(_sum_blocks(places.mapInArrow(run, "slot int, part binary"), 1), n + 1, 1)
@@ -155,7 +162,7 @@ def _matrix(block: bytes, idf: np.ndarray):
     at, term = at[keep], term[keep]
     weight = idf[term]
     norm = np.sqrt(np.bincount(at, weight**2, int(start[-1])))
-    return at, term, weight / norm[at] if len(at) else weight
+    return at, term, (weight / norm[at] if len(at) else weight).astype(np.float32)
 
 
 def _rows_times(at: np.ndarray, term: np.ndarray, weight: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +175,7 @@ def latent_space(places: DataFrame, idf: np.ndarray, rank: int, seed: int = 7) -
     """Right singular vectors (terms by rank) of all TF-IDF passages: a random
     range, one power step and a small exact decomposition."""
     n, r = len(idf), min(rank + 8, len(idf))
-    omega = np.random.default_rng(seed).standard_normal((n, r))
+    omega = np.random.default_rng(seed).standard_normal((n, r)).astype(np.float32)
 
     def power(batches):
         total = np.zeros((n, r))
@@ -186,13 +193,14 @@ def latent_space(places: DataFrame, idf: np.ndarray, rank: int, seed: int = 7) -
     z = _whole(_sum_blocks(places.mapInArrow(power, "slot int, part binary"), r), n, r)
     q, _ = np.linalg.qr(z)
     q = np.ascontiguousarray(q)
+    narrow = q.astype(np.float32)
 
     def gram(batches):
         total = np.zeros((r, r))
         for batch in batches:
             for block in batch.column("block").to_pylist():
-                y = _rows_times(*_matrix(block, idf), q)[1]
-                total += y.T @ y
+                y = _rows_times(*_matrix(block, idf), narrow)[1]
+                total += (y.T @ y).astype(np.float64)
         yield _emit(total)
 
     g = _whole(_sum_blocks(places.mapInArrow(gram, "slot int, part binary"), r), r, r)
@@ -219,60 +227,77 @@ def _search(places: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray,
     latent = (space * idf[:, None]).astype(np.float32)
     queries = np.stack([latent[p].sum(axis=0) for p in items.pieces])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    masks, known = [], []
-    for p in items.pieces:
+    masks, known, keys = [], [], []
+    for k, p in enumerate(items.pieces):
         own: dict[int, int] = {}
-        for k, t in enumerate(p.tolist()):
-            own[t] = own.get(t, 0) | 1 << k
+        for i, t in enumerate(p.tolist()):
+            own[t] = own.get(t, 0) | 1 << i
         masks.append(own)
-        informative = {t for t in own if idf[t] > 0}
-        known.append((informative, float(sum(idf[t] for t in informative))))
+        informative = sorted((t for t in own if idf[t] > 0), key=lambda t: -idf[t])
+        total = float(sum(idf[t] for t in informative))
+        known.append((set(informative), total))
+        # Without all of these rarest terms, what is left can't pass the answer check.
+        missing = 0.0
+        for t in informative:
+            if missing > (1 - answer) * total:
+                break
+            missing += idf[t]
+            keys.append((t, k))
+    keys.sort()
+    key_term, key_piece = (np.array(x, np.int64) for x in zip(*keys, strict=True))
+    key_first = np.searchsorted(key_term, np.arange(len(idf) + 1))
     sizes = np.array([len(p) for p in items.pieces])
-    #: (pieces, words of their windows, windows per unit)
-    kinds = [(own, width, step) for own, width, step in ((np.flatnonzero(sizes <= SHORT), PASSAGE // 2, 1), (np.flatnonzero(sizes > SHORT), PASSAGE, 2)) if len(own)]
+    #: Units of the windows that a piece is compared with.
+    units = np.where(sizes <= SHORT, PASSAGE // 2 // STRIDE, PASSAGE // STRIDE)
 
     def run(batches):
         for batch in batches:
-            best: dict[tuple[int, int], tuple] = {}
             for block in batch.column("block").to_pylist():
                 ids, words, first, pos, term = _read(block)
                 at, start = _passages(first, words, pos, STRIDE)
-                if not start[-1]:
+                # Windows around every key term of every piece.
+                many = np.diff(key_first)[term]
+                token = np.repeat(np.arange(len(term)), many)
+                if not len(token):
                     continue
-                x = np.zeros((int(start[-1]), latent.shape[1]), np.float32)
+                piece = key_piece[np.arange(len(token)) - np.repeat(np.cumsum(many) - many, many) + key_first[term[token]]]
+                near = np.unique(np.stack([at[token], piece]), axis=1)
+                unit, piece = near
+                x = np.zeros((int(start[-1]) + 1, latent.shape[1]), np.float32)
                 keep = idf[term] > 0
                 which, sums = _rows_times(at[keep], term[keep], np.ones(int(keep.sum()), np.float32), latent)
-                x[which] = sums
-                doc = np.repeat(np.arange(len(ids)), np.diff(start))
-                window, units = x, 1
-                for pieces, width, step in kinds:
-                    while units * STRIDE < width:
-                        longer = window.copy()
-                        longer[:-units] += window[units:] * (doc[units:] == doc[:-units])[:, None]
-                        window, units = longer, 2 * units
-                    norm = np.linalg.norm(window, axis=1)
-                    ok = np.flatnonzero((norm > 1e-6) & ((np.arange(len(doc)) - start[doc]) % step == 0))
-                    for lo in range(0, len(ok), 8192):
-                        own = ok[lo : lo + 8192]
-                        c = window[own] @ queries[pieces].T
-                        w, q = np.nonzero(c >= cosine * norm[own][:, None])
-                        for i, k, value in zip(own[w].tolist(), pieces[q].tolist(), (c[w, q] / norm[own[w]]).tolist(), strict=True):
-                            d = int(doc[i])
-                            key = (d, items.item[k])
-                            if key in best and best[key][2] >= 1.0:
-                                continue
-                            at0 = STRIDE * (i - int(start[d])) - 2 * STRIDE
-                            a = int(first[d]) + int(np.searchsorted(pos[first[d] : first[d + 1]], at0))
-                            b = int(first[d]) + int(np.searchsorted(pos[first[d] : first[d + 1]], at0 + width + 4 * STRIDE))
-                            sequence, size = term[a:b].tolist(), len(items.pieces[k])
-                            share = common_subsequence(masks[k], sequence, size) / size
-                            informative, total = known[k]
-                            told = sum(idf[t] for t in informative.intersection(sequence)) / total if total else share
-                            least = max(lcs, 0.9) if size < 8 else lcs
-                            if share >= least and told >= answer and (key not in best or best[key][2] < share):
-                                best[key] = (ids[d], value, share, told, max(at0, 0))
+                x[1:][which] = sums
+                x = np.cumsum(x, axis=0, dtype=np.float64)
+                doc = np.searchsorted(start, unit, "right") - 1
+                best: dict[tuple[int, int], tuple] = {}
+                for lo in range(0, len(unit), 8192):
+                    u, k, d = unit[lo : lo + 8192], piece[lo : lo + 8192], doc[lo : lo + 8192]
+                    value, where = np.full(len(u), -1.0), u.copy()
+                    for back in range(int(units.max())):
+                        a = np.maximum(u - back, start[d])
+                        b = np.minimum(a + units[k], start[d + 1])
+                        v = x[b] - x[a]
+                        c = np.einsum("ij,ij->i", v, queries[k]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
+                        better = (back < units[k]) & (c > value)
+                        value[better], where[better] = c[better], a[better]
+                    for j in np.flatnonzero(value >= cosine).tolist():
+                        i, piece_no, own_doc = int(where[j]), int(k[j]), int(d[j])
+                        key = (own_doc, items.item[piece_no])
+                        if key in best and best[key][2] >= 1.0:
+                            continue
+                        at0 = STRIDE * (i - int(start[own_doc])) - 2 * STRIDE
+                        f, g = int(first[own_doc]), int(first[own_doc + 1])
+                        a, b = f + int(np.searchsorted(pos[f:g], at0)), f + int(np.searchsorted(pos[f:g], at0 + STRIDE * int(units[piece_no]) + 4 * STRIDE))
+                        sequence, size = term[a:b].tolist(), int(sizes[piece_no])
+                        informative, total = known[piece_no]
+                        told = sum(idf[t] for t in informative.intersection(sequence)) / total if total else 1.0
+                        if told < answer:
+                            continue
+                        share = common_subsequence(masks[piece_no], sequence, size) / size
+                        least = max(lcs, 0.9) if size < 8 else lcs
+                        if share >= least and (key not in best or best[key][2] < share):
+                            best[key] = (ids[own_doc], float(value[j]), share, told, max(at0, 0))
                 out = [(v[0], k[1], *v[1:]) for k, v in best.items()]
-                best = {}
                 if out:
                     who = np.array([o[0] for o in out], np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(who, mask=who == NULL_ID), pa.array([o[1] for o in out], pa.int64()), *(pa.array([float(o[k]) for o in out]) for k in (2, 3, 4)), pa.array([o[5] for o in out], pa.int64())], ["doc_id", "item_id", "cosine", "lcs", "answer", "start_word"])
@@ -280,13 +305,16 @@ def _search(places: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray,
     return places.mapInArrow(run, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 64, cosine: float = 0.3, lcs: float = 0.5, answer: float = 0.6, common: float = 0.05, block_items: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 32, cosine: float = 0.1, lcs: float = 0.5, answer: float = 0.6, common: float = 0.05, block_items: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per contaminated document and benchmark item: doc_id, item_id,
     cosine of the best window, lcs (share of the item's words, in order, in the
     window), answer (share of the item's informative words, by weight) and
     start_word. Clean documents have no row.
 
-    Words are lower-cased runs of letters and digits. Terms that are in more
+    A window is compared with an item where it holds one of the item's rarest
+    terms, those without which the answer check can't pass; so no window that
+    could pass is left out, whatever the cosine of the others. Words are
+    lower-cased runs of letters and digits. Terms that are in more
     than a share ``common`` of all passages carry no weight, unless an item has
     fewer than four others. Items come in blocks of ``block_items``, each
     against all documents; an item of more than 64 words is compared in pieces,
