@@ -10,7 +10,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark) -> None:
-    """Send this package to the executors' Python workers (once per application)."""
+    """Send this package to the executors' Python workers (once per application).
+
+    Also bounds the Arrow batches that workers get at a time, by rows and bytes:
+    whole texts are long, and a worker's memory is a few batches.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

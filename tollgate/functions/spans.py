@@ -5,21 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tollgate.functions.patterns import java
+from tollgate.functions.patterns import NEEDS, java
 
 HIT = "struct<start:int,end:int,text:string>"
 MARK = "[REDACTED]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def may_match(text: Column, pattern: str) -> Column:
+    """Whether a text can match at all: plain substrings first, then the pattern itself."""
+    words, simple = NEEDS.get(pattern, ((), ""))
+    ok = text.rlike(java(pattern))
+    if simple:
+        ok = text.rlike(simple) & ok
+    if words:
+        # Case folding knows two more letters than lower-casing: the long s and the Kelvin sign.
+        plain = any(w.isalpha() for w in words)
+        folded = F.translate(F.lower(text), "\u017f\u212a", "sk") if plain else F.lower(text)
+        found = let(folded, lambda t: _any(t, words)) if len(words) > 1 else folded.contains(words[0])
+        ok = (text.contains(words[0]) if words in (("@",), ("![",)) else found) & ok
+    return ok
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    out = text.contains(words[0])
+    for w in words[1:]:
+        out |= text.contains(w)
+    return out
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as (start, end, text), offsets in bytes.
 
     The pieces between matches and the matches themselves give the offsets by
-    running sums of byte lengths. Text without a match costs one scan. The
-    pattern must not match the empty string. Null text has no matches.
+    running sums of byte lengths. Text without a match costs a scan for what the
+    pattern needs. The pattern must not match the empty string. Null text has no
+    matches.
     """
     p = java(pattern)
-    gaps, hits = F.split(text, p, -1), F.regexp_extract_all(text, F.lit(p), F.lit(0))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -28,14 +55,16 @@ def find_spans(text: Column, pattern: str) -> Column:
         found = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["hit"].alias("text"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    def paired(hits: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, p, -1), 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+
+    pairs = let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), paired)
     found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(p), found).otherwise(F.array().cast(f"array<{HIT}>"))
+    return F.when(may_match(text, pattern), found).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
 def merge_spans(spans: Column) -> Column:
     """Union of overlapping and touching (part, start, end), per part, ascending."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["part"].alias("part"), s["start"].alias("start"), s["end"].alias("end"))))
     empty = F.array().cast("array<struct<part:int,start:int,end:int>>")
 
     def step(acc: Column, s: Column) -> Column:
@@ -44,13 +73,15 @@ def merge_spans(spans: Column) -> Column:
         wider = F.struct(last["part"].alias("part"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
         return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
 
-    return F.when(F.size(spans) <= 1, ordered).otherwise(F.aggregate(ordered, empty, step))
+    def merged(own: Column) -> Column:
+        return F.when(F.size(own) <= 1, own).otherwise(F.aggregate(own, empty, step))
+
+    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["part"].alias("part"), s["start"].alias("start"), s["end"].alias("end")))), merged)
 
 
 def suppress_contained(findings: Column) -> Column:
     """Drop findings that lie inside another of their part (or equal one that
     comes first): by start, longer first, higher score first, then as found."""
-    keyed = F.transform(findings, lambda f, i: F.struct(f["part"].alias("p"), f["start"].alias("s"), (-f["end"]).alias("e"), (-f["score"]).alias("c"), i.alias("i"), f.alias("f")))
     zero = F.struct(F.lit(-1).alias("part"), F.lit(-1).alias("reach"), F.array().cast("array<struct<detector:string,type:string,part:int,start:int,end:int,score:double>>").alias("out"))
 
     def step(acc: Column, k: Column) -> Column:
@@ -58,7 +89,11 @@ def suppress_contained(findings: Column) -> Column:
         reach = F.when(acc["part"] == k["p"], F.greatest(acc["reach"], k["f"]["end"])).otherwise(k["f"]["end"])
         return F.struct(k["p"].alias("part"), reach.alias("reach"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(k["f"]))).alias("out"))
 
-    return F.when(F.size(findings) < 2, findings).otherwise(F.aggregate(F.array_sort(keyed), zero, step, lambda acc: acc["out"]))
+    def kept(own: Column) -> Column:
+        keyed = F.transform(own, lambda f, i: F.struct(f["part"].alias("p"), f["start"].alias("s"), (-f["end"]).alias("e"), (-f["score"]).alias("c"), i.alias("i"), f.alias("f")))
+        return F.when(F.size(own) < 2, own).otherwise(F.aggregate(F.array_sort(keyed), zero, step, lambda acc: acc["out"]))
+
+    return let(findings, kept)
 
 
 def near_any(hit: Column, anchors: Column, window: int) -> Column:
@@ -99,5 +134,7 @@ def redact(text: Column, spans: Column, mark: str = MARK) -> Column:
         changed = F.concat(F.substring(acc, F.lit(1), a), F.lit(mark).cast("binary"), F.substring(acc, b + 1, n))
         return F.when(b > a, changed).otherwise(acc)
 
-    backwards = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(backwards, raw, step).cast("string"))
+    def changed(own: Column) -> Column:
+        return F.when(F.size(own) == 0, text).otherwise(F.aggregate(F.reverse(own), raw, step).cast("string"))
+
+    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))), changed)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tollgate.functions import patterns as P
 from tollgate.functions.checks import digits_only, entropy, gstin, luhn, verhoeff
-from tollgate.functions.spans import HIT, find_spans, near_any, suppress_contained
+from tollgate.functions.spans import HIT, find_spans, let, near_any, suppress_contained
 from tollgate.schema import FINDINGS
 
 CHECKED, SHAPE = 1.0, 0.7
@@ -55,8 +55,13 @@ class Pii(Detector):
 
     name = "pii"
 
-    def parts(self, text: Column, part: Column) -> list[Column]:
-        def of(pattern: str, kind: str, score: float, keep=None) -> Column:
+    #: The types, in the order in which they are looked for.
+    kinds: tuple[str, ...] = ("aadhaar", "card", "gstin", "pan", "indian_passport", "indian_mobile", "email", "upi_vpa", "ifsc", "bank_account")
+
+    def of(self, kind: str, text: Column, part: Column) -> Column:
+        """All findings of one type."""
+
+        def found(pattern: str, score: float, keep=None) -> Column:
             return findings(find_spans(text, pattern), part, self.name, kind, score, keep)
 
         def aadhaar(h: Column) -> Column:
@@ -71,23 +76,23 @@ class Pii(Detector):
             after = F.substring(text.cast("binary"), h["end"] + 1, F.lit(1))
             return (after != F.lit(b".")) & F.lower(F.substring_index(h["text"], "@", -1)).isin(*P.VPA_HANDLES)
 
-        ifsc = find_spans(text, P.IFSC)
-        account = F.when(F.size(ifsc) > 0, findings(find_spans(text, P.ACCOUNT), part, self.name, "bank_account", SHAPE, lambda h: near_any(h, ifsc, P.ACCOUNT_WINDOW))).otherwise(none())
-        return [
-            of(P.AADHAAR, "aadhaar", CHECKED, aadhaar),
-            of(P.CARD, "card", CHECKED, card),
-            of(P.GSTIN, "gstin", CHECKED, lambda h: gstin(h["text"])),
-            of(P.PAN, "pan", SHAPE),
-            of(P.PASSPORT, "indian_passport", SHAPE),
-            of(P.MOBILE, "indian_mobile", SHAPE),
-            of(P.EMAIL, "email", SHAPE),
-            of(P.VPA, "upi_vpa", SHAPE, vpa),
-            findings(ifsc, part, self.name, "ifsc", SHAPE),
-            account,
-        ]
+        def account(ifsc: Column) -> Column:
+            return F.when(F.size(ifsc) > 0, found(P.ACCOUNT, SHAPE, lambda h: near_any(h, ifsc, P.ACCOUNT_WINDOW))).otherwise(none())
+
+        if kind == "aadhaar":
+            return found(P.AADHAAR, CHECKED, aadhaar)
+        if kind == "card":
+            return found(P.CARD, CHECKED, card)
+        if kind == "gstin":
+            return found(P.GSTIN, CHECKED, lambda h: gstin(h["text"]))
+        if kind == "upi_vpa":
+            return found(P.VPA, SHAPE, vpa)
+        if kind == "bank_account":
+            return let(find_spans(text, P.IFSC), account)
+        return found({"pan": P.PAN, "indian_passport": P.PASSPORT, "indian_mobile": P.MOBILE, "email": P.EMAIL, "ifsc": P.IFSC}[kind], SHAPE)
 
     def detect(self, text: Column, part: Column) -> Column:
-        return suppress_contained(F.concat(*self.parts(text, part)))
+        return suppress_contained(F.concat(*(self.of(k, text, part) for k in self.kinds)))
 
 
 @dataclass
@@ -111,10 +116,12 @@ class Secrets(Detector):
 
         providers = [findings(find_spans(text, p), part, self.name, k, CHECKED) for p, k in ((P.AWS_KEY, "aws_key"), (P.GITHUB_TOKEN, "github_token"), (P.SLACK_TOKEN, "slack_token"), (P.OPENAI_KEY, "openai_key"))]
         tokens = findings(find_spans(text, P.SECRET_TOKEN), part, self.name, "high_entropy", SHAPE, secret)
-        known = F.concat(*providers)
-        # A token around or inside a provider's key is that key.
-        apart = F.filter(tokens, lambda t: ~F.exists(known, lambda k: (k["start"] < t["end"]) & (t["start"] < k["end"])))
-        return suppress_contained(F.concat(known, apart))
+
+        def apart(known: Column) -> Column:
+            # A token around or inside a provider's key is that key.
+            return F.concat(known, F.filter(tokens, lambda t: ~F.exists(known, lambda k: (k["start"] < t["end"]) & (t["start"] < k["end"]))))
+
+        return suppress_contained(let(F.concat(*providers), apart))
 
 
 def readable_base64(token: Column) -> Column:

@@ -15,7 +15,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.functions.spans import merge_spans
+from tollgate.functions.spans import let, merge_spans
 from tollgate.schema import ACTIONS, severity
 
 _RULE = {"surface", "when", "action", "taint_session"}
@@ -166,21 +166,36 @@ def matches(rule: Rule, surface: Column, source: Column, found: Column, tainted:
     return F.coalesce(ok, F.lit(False))
 
 
-def evaluate(policy: Policy, surface: Column, source: Column, found: Column, tainted: Column, pin_changed: Column) -> dict[str, Column]:
-    """action (the most severe of all matching rules), taint_session (of any), and
-    the merged redactions (of redact rules, when the action is redact)."""
-    hit = [matches(r, surface, source, found, tainted, pin_changed) for r in policy.rules]
-    ranks = [F.when(h, F.lit(severity(r.action))) for h, r in zip(hit, policy.rules, strict=True) if r.action in ACTIONS]
-    rank = F.greatest(F.lit(0), *ranks) if ranks else F.lit(0)
-    action = F.element_at(F.array(*map(F.lit, ACTIONS)), rank + 1)
-    taint = F.lit(False)
-    for h, r in zip(hit, policy.rules, strict=True):
-        if r.taint_session:
-            taint |= h
-    spans = [F.when(h, F.transform(_selected(r, found), lambda f: F.struct(f["part"].alias("part"), f["start"].alias("start"), f["end"].alias("end")))).otherwise(F.array().cast("array<struct<part:int,start:int,end:int>>")) for h, r in zip(hit, policy.rules, strict=True) if r.action == "redact"]
-    none = F.array().cast("array<struct<part:int,start:int,end:int>>")
-    redactions = F.when(action == "redact", merge_spans(F.concat(*spans))).otherwise(none) if spans else none
-    return {"action": action, "taint_session": taint, "redactions": redactions}
+NO_SPANS = "array<struct<part:int,start:int,end:int>>"
+
+
+def evaluate(policy: Policy, surface: Column, source: Column, found: Column, tainted: Column, pin_changed: Column) -> Column:
+    """A struct: action (the most severe of all matching rules), taint_session (of
+    any), and the merged redactions (of redact rules, when the action is redact).
+
+    ``found`` is computed once a row, and each rule is matched once.
+    """
+
+    def decided(own: Column) -> Column:
+        hits = F.array(*(matches(r, surface, source, own, tainted, pin_changed) for r in policy.rules)) if policy.rules else F.array().cast("array<boolean>")
+        return let(hits, lambda hit: outcome(own, hit))
+
+    def outcome(own: Column, hit: Column) -> Column:
+        def of(i: int) -> Column:
+            return F.element_at(hit, i + 1)
+
+        ranks = [F.when(of(i), F.lit(severity(r.action))) for i, r in enumerate(policy.rules) if r.action in ACTIONS]
+        action = F.element_at(F.array(*map(F.lit, ACTIONS)), F.greatest(F.lit(0), *ranks) + 1) if ranks else F.lit("allow")
+        taint = F.lit(False)
+        for i, r in enumerate(policy.rules):
+            if r.taint_session:
+                taint |= of(i)
+        none = F.array().cast(NO_SPANS)
+        spans = [F.when(of(i), F.transform(_selected(r, own), lambda f: F.struct(f["part"].alias("part"), f["start"].alias("start"), f["end"].alias("end")))).otherwise(none) for i, r in enumerate(policy.rules) if r.action == "redact"]
+        redactions = F.when(action == "redact", merge_spans(F.concat(*spans))).otherwise(none) if spans else none
+        return F.struct(action.alias("action"), taint.alias("taint_session"), redactions.alias("redactions"))
+
+    return let(found, decided)
 
 
 def evaluate_row(policy: Policy, surface: str, source: str, found: Sequence[dict], tainted: bool, pin_changed: bool) -> tuple[str, bool, list[tuple[int, int, int]]]:

@@ -72,7 +72,7 @@ def valid(hops: DataFrame) -> DataFrame:
 def verdicts_without_state(detected: DataFrame, policy: Policy) -> DataFrame:
     """Verdicts for hops that carry session_tainted and pin_changed: a projection, no shuffle."""
     out = evaluate(policy, F.col("surface"), F.col("source"), F.col("findings"), F.col("session_tainted"), F.col("pin_changed"))
-    return detected.withColumns(out).withColumn("policy_version", F.lit(policy.version))
+    return detected.withColumn("decided", out).select("*", "decided.*").drop("decided").withColumn("policy_version", F.lit(policy.version))
 
 
 def inspect(hops: DataFrame, policy: Policy, registry: Registry | None = None, ttl: float = 3600.0, normalise: bool = True) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tollgate.functions import normalize as N
 from tollgate.functions import patterns as P
 from tollgate.functions.checks import entropy
-from tollgate.functions.spans import find_spans, merge_spans, near_any, redact
+from tollgate.functions.spans import find_spans, let, merge_spans, near_any, redact
 from tollgate.operators import detectors as D
 from tollgate.operators.policy import evaluate, parse_policy, rules_table
 from tollgate.plans import evals
@@ -220,7 +220,7 @@ class _OnlyPii(D.Pii):
         self.kinds = kinds
 
     def detect(self, text: Column, part: Column) -> Column:
-        return F.filter(F.concat(*self.parts(text, part)), lambda f: f["type"].isin(*self.kinds))
+        return F.concat(*(self.of(k, text, part) for k in self.kinds))
 
 
 _IFSC, _ACCOUNT = sql_spans(SEEDS, "doc_id", P.IFSC), sql_spans(SEEDS, "doc_id", P.ACCOUNT)
@@ -351,12 +351,21 @@ class _Some(D.Detector):
 
     def detect(self, text: Column, part: Column) -> Column:
         own = _OnlyPii(("card", "email")).detect(text, part)
-        return F.concat(own, F.filter(D.Injection().detect(text, part), lambda f: f["type"] == "instruction_override"))
+        return F.concat(own, D.findings(find_spans(text, P.OVERRIDE), part, "injection_heuristic", "instruction_override", D.OVERRIDE_SCORE))
 
 
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", F.expr(SURFACE).alias("surface"), F.coalesce("source", F.lit("")).alias("source"), _Some().detect(F.col("text"), F.lit(0)).alias("findings"), F.expr("doc_id % 5 = 0").alias("tainted"))
-    return docs.withColumns(evaluate(POLICY_OF, F.col("surface"), F.col("source"), F.col("findings"), F.col("tainted"), F.lit(False)))
+    return _with_verdict(docs, F.col("tainted"))
+
+
+def _with_verdict(hops: DataFrame, tainted: Column) -> DataFrame:
+    """Findings and verdict in one struct, so that detection runs once a row."""
+
+    def both(found: Column) -> Column:
+        return F.struct(found.alias("findings"), evaluate(POLICY_OF, F.col("surface"), F.col("source"), found, tainted, F.lit(False)).alias("v"))
+
+    return hops.withColumn("d", let(F.col("findings"), both)).drop("findings").select("*", "d.findings", "d.v.*").drop("d")
 
 
 _SOME = f"""SELECT d.doc_id, d.surface, coalesce(max(CASE WHEN f.type = 'instruction_override' THEN 1 END), 0) AS overrides, coalesce(max(CASE WHEN f.type IN ('card', 'email') THEN 1 END), 0) AS personal FROM (SELECT doc_id, {SURFACE} AS surface FROM documents) d LEFT JOIN (
@@ -538,7 +547,7 @@ def histogram_p99(spark: SparkSession, sf: str) -> DataFrame:
 def audit_events(spark: SparkSession, sf: str) -> DataFrame:
     parts = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("text"), F.lit("trusted").alias("trust")))
     docs = documents(spark, sf).select("doc_id", F.expr(SURFACE).alias("surface"), F.coalesce("source", F.lit("")).alias("source"), _Some().detect(F.col("text"), F.lit(0)).alias("findings"), content_hash(parts).alias("content_hash"), F.lit("").alias("session"))
-    done = docs.withColumns(evaluate(POLICY_OF, F.col("surface"), F.col("source"), F.col("findings"), F.lit(False), F.lit(False))).withColumn("policy_version", F.lit(POLICY_OF.version))
+    done = _with_verdict(docs, F.lit(False)).withColumn("policy_version", F.lit(POLICY_OF.version))
     return audit.events(done.withColumn("trace_id", F.col("doc_id").cast("string"))).select(F.col("trace_id").cast("long").alias("hop_id"), "session_id", "surface", "action", "taint_session", "policy_version", "content_hash")
 
 
