@@ -15,8 +15,8 @@ def ship(spark) -> None:
     Also bounds the Arrow batches that workers get at a time, by rows and bytes:
     whole texts are long, and a worker's memory is a few batches.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
