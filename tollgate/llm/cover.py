@@ -72,7 +72,7 @@ class Rule:
     q: int
     earlier: bool
     passes: int = 1
-    chunk: int = 1 << 20
+    chunk: int = 1 << 19
     period: int = field(init=False)
     gram: int = field(init=False)
 
@@ -128,7 +128,7 @@ def _sieve(docs: DataFrame, rule: Rule, n: int) -> DataFrame:
     def emit(batches):
         for batch in batches:
             ids, data, offsets = text_columns(batch)
-            for lo, hi in ranges(offsets, rule.chunk * (1 if type(rule.alphabet).__name__ == "Bytes" else 6)):
+            for lo, hi in ranges(offsets, rule.chunk * rule.alphabet.bytes_each):
                 yield from chunk(ids[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
     def chunk(ids, data, offsets):

@@ -158,13 +158,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         yield rows(pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]), [part], [final.rsplit("/", 1)[-1]], [len(writer.ids)], [writer.tokens])
 
     spark = docs.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "1000")
-    try:
-        manifest = ordered.mapInArrow(save, MANIFEST).collect()
-    finally:
-        spark.conf.set(key, before)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    manifest = ordered.mapInArrow(save, MANIFEST).collect()
     return spark.createDataFrame(manifest, MANIFEST)
 
 

@@ -3,8 +3,6 @@ fingerprints of their windows, all vectorised."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import xxhash
 
@@ -66,6 +64,8 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 class Bytes:
     """One symbol per UTF-8 byte."""
 
+    bytes_each = 1
+
     def symbols(self, data: np.ndarray, offsets: np.ndarray):
         return _BYTE_SYMBOLS[data], offsets, None
 
@@ -73,28 +73,37 @@ class Bytes:
 class Words:
     """One symbol per word ``[^\\x20\\x09-\\x0D]+``."""
 
+    #: About as many bytes as a word takes.
+    bytes_each = 6
+
     def symbols(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends, first = word_spans(data, offsets)
         return hash_words(data, starts, ends), first, (starts, ends)
 
 
-@lru_cache(maxsize=4)
+_cached: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+    """Powers of a base and of its inverse; one table each is kept, as long as the longest so far."""
+    if base not in _cached or len(_cached[base][0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        if size > 1 << 22:  # for a very long text: not kept
+            return out[0], out[1]
+        _cached[base] = (out[0], out[1])
+    return _cached[base]
 
 
 class Windows:
     """Fingerprints of windows of a symbol array, from prefix sums modulo 2^64."""
 
     def __init__(self, symbols: np.ndarray, which: int = 0):
-        n = 1 << max(16, int(len(symbols)).bit_length())
-        self.power, self.inverse = _powers(_BASES[which], n)
+        self.power, self.inverse = _powers(_BASES[which], len(symbols) + 1)
         own = symbols if not which else mix(symbols ^ _K0)
         self.prefix = np.zeros(len(symbols) + 1, np.uint64)
         np.cumsum(own * self.power[: len(symbols)], out=self.prefix[1:])

@@ -91,7 +91,7 @@ class Encoder:
     a special token's string, and files of another kind, are encoded plainly.
     """
 
-    def __init__(self, path: str, memo: int = 2_000_000):
+    def __init__(self, path: str, memo: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -92,7 +92,7 @@ def _unique_words(data: np.ndarray, offsets: np.ndarray):
         yield {raw[s[k] : e[k]] for k in range(int(first[i]), int(first[i + 1])) if e[k] - s[k] >= 3}
 
 
-def learn_lexicon(train: DataFrame, most: int = 20_000) -> dict[bytes, float]:
+def learn_lexicon(train: DataFrame, most: int = 5_000) -> dict[bytes, float]:
     """Terms (a trailing * marks a stem) that explain the toxic labels, with weights.
 
     Words and stems that occur in enough toxic documents are counted in all
@@ -101,7 +101,7 @@ def learn_lexicon(train: DataFrame, most: int = 20_000) -> dict[bytes, float]:
     """
     toxic = train.where("toxic = 1").count()
     clean = train.count() - toxic
-    support = int(min(max(0.004 * toxic, 3), 30))
+    support = int(min(max(0.01 * toxic, 5), 30))
 
     def first(batches):
         for batch in batches:
@@ -115,38 +115,34 @@ def learn_lexicon(train: DataFrame, most: int = 20_000) -> dict[bytes, float]:
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
     frequent = train.where("toxic = 1").mapInArrow(first, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    candidates = {bytes(r.term): i for i, r in enumerate(frequent.orderBy(F.desc("n"), "term").limit(most).collect())}
+    counted = frequent.orderBy(F.desc("n"), "term").limit(most).collect()
+    candidates = {bytes(r.term): i for i, r in enumerate(counted)}
 
     def second(batches):
+        plain: Counter[int] = Counter()
         for batch in batches:
-            labels = batch.column("toxic").to_pylist()
             _, data, offsets = _texts(batch)
-            plain: Counter[int] = Counter()
-            lists = []
-            for label, words in zip(labels, _unique_words(data, offsets), strict=True):
-                own = {candidates[x] for w in words for x in (w, *_stems(w)) if x in candidates}
-                if label == 1:
-                    lists.append(sorted(own))
-                else:
-                    plain.update(own)
-            rows = [*lists, *([k, n] for k, n in plain.items())]
-            kinds = [1] * len(lists) + [0] * len(plain)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], ["kind", "items"])
-
-    n0, n1, by_doc = Counter(), Counter(), []
-    for r in train.mapInArrow(second, "kind int, items array<long>").collect():
-        if r.kind:
-            by_doc.append(r["items"])
-            n1.update(r["items"])
-        else:
-            n0[r["items"][0]] += r["items"][1]
+            for words in _unique_words(data, offsets):
+                plain.update({candidates[x] for w in words for x in (w, *_stems(w)) if x in candidates})
+        yield pa.RecordBatch.from_arrays([pa.array(list(plain), pa.int64()), pa.array(list(plain.values()), pa.int64())], ["i", "n"])
+
+    clean_docs = train.where("toxic <> 1")
+    n0 = Counter({r.i: r.n for r in clean_docs.mapInArrow(second, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()})
+    n1 = {candidates[bytes(r.term)]: r.n for r in counted}
     names = list(candidates)
-    good = {i for i in n1 if n1[i] >= 0.8 * (n1[i] + n0[i])}
+    good = {names[i]: i for i in n1 if n1[i] >= 0.8 * (n1[i] + n0[i])}
+
+    def third(batches):
+        for batch in batches:
+            _, data, offsets = _texts(batch)
+            lists = [np.array(sorted({good[x] for w in words for x in (w, *_stems(w)) if x in good}), np.int32).tobytes() for words in _unique_words(data, offsets)]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary())], ["items"])
+
+    by_doc = [np.frombuffer(bytes(r["items"]), np.int32) for r in train.where("toxic = 1").mapInArrow(third, "items binary").toLocalIterator()]
     holders: dict[int, set[int]] = {}
     for d, own in enumerate(by_doc):
-        for i in own:
-            if i in good:
-                holders.setdefault(i, set()).add(d)
+        for i in own.tolist():
+            holders.setdefault(i, set()).add(d)
     lexicon: dict[bytes, float] = {}
 
     def take(i: int) -> None:
@@ -155,7 +151,7 @@ def learn_lexicon(train: DataFrame, most: int = 20_000) -> dict[bytes, float]:
     gain = {i: len(d) for i, d in holders.items()}
     for _ in range(300):
         best = max(gain, key=lambda i: (gain[i], not names[i].endswith(b"*"), len(names[i]), names[i]), default=None)
-        if best is None or gain[best] < max(2, support // 2):
+        if best is None or gain[best] < support:
             break
         take(best)
         covered = set(holders[best])
@@ -234,22 +230,48 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def _collected(train: DataFrame, matcher: Matcher) -> list[tuple[int, int, list[tuple]]]:
-    """(label, words, hits) of the training documents; hits without their far context."""
+def _hit_words(train: DataFrame, matcher: Matcher) -> tuple[dict, dict, list[int]]:
+    """Of the training documents: edited forms that were hit and words around hits,
+    both by label, and the number of documents with hits by label. Counted where
+    they are read; the forms and words that occur most come to the driver."""
+
+    def run(batches):
+        count: Counter[tuple] = Counter()
+        for batch in batches:
+            labels = batch.column("toxic").to_pylist()
+            _, data, offsets = _texts(batch)
+            for label, hits in zip(labels, matcher.hits(data, offsets)[0], strict=True):
+                label = int(label == 1)
+                count[("doc", b"", label)] += bool(hits)
+                for word in {h[0] for h in hits if h[2]}:
+                    count[("form", word, label)] += 1
+                for word in {x for h in hits for x in h[4]}:
+                    count[("near", word, label)] += 1
+        keys = list(count)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()), pa.array([k[2] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())], ["kind", "word", "label", "n"])
+
+    sums = train.mapInArrow(run, "kind string, word binary, label int, n long").groupBy("kind", "word").pivot("label", [0, 1]).agg(F.sum("n")).na.fill(0)
+    sums = sums.select("kind", "word", F.col("0").alias("n0"), F.col("1").alias("n1"))
+    docs = sums.where("kind = 'doc'").first()
+    top = [sums.where(F.col("kind") == k).orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(n).collect() for k, n in (("form", 5000), ("near", 2000))]
+    forms, around = ({bytes(r.word): (r.n0, r.n1) for r in t} for t in top)
+    return forms, around, [docs.n0, docs.n1] if docs else [0, 0]
+
+
+def _feature_rows(train: DataFrame, matcher: Matcher, benign: frozenset, context: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the training documents."""
 
     def run(batches):
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
             _, data, offsets = _texts(batch)
             hits, n = matcher.hits(data, offsets)
-            kept = [h[:64] for h in hits]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(labels, pa.int32()), pa.array(n, pa.int64()), pa.array([[{"form": a, "term": b, "errors": c, "quoted": d, "around": e} for a, b, c, d, e in h] for h in kept], pa.list_(pa.struct([("form", pa.binary()), ("term", pa.int32()), ("errors", pa.int32()), ("quoted", pa.bool_()), ("around", pa.list_(pa.binary()))])))],
-                ["toxic", "n", "hits"],
-            )
+            rows = [np.array(features(h, int(k), benign, context, matcher.weight, matcher.stem_from)).tobytes() for h, k in zip(hits, n, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(t == 1) for t in labels], pa.int32()), pa.array(rows, pa.binary())], ["y", "x"])
 
-    found = train.mapInArrow(run, "toxic int, n long, hits array<struct<form: binary, term: int, errors: int, quoted: boolean, around: array<binary>>>")
-    return [(r.toxic, r.n, [(bytes(h.form), h.term, h.errors, h.quoted, [bytes(a) for a in h.around]) for h in r.hits]) for r in found.toLocalIterator()]
+    found = [(r.y, bytes(r.x)) for r in train.mapInArrow(run, "y int, x binary").toLocalIterator()]
+    x = np.frombuffer(b"".join(r for _, r in found), np.float64).reshape(-1, FEATURES)
+    return x, np.array([y for y, _ in found], float)
 
 
 class Model:
@@ -261,35 +283,27 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Scores of a block of texts, 0 to 1."""
-        data, out = normalised(data), [np.zeros(0)]
-        for lo, hi in ranges(offsets, 4 << 20):
-            hits, n = self.matcher.hits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        out = [np.zeros(0)]
+        for lo, hi in ranges(offsets, 2 << 20):
+            hits, n = self.matcher.hits(normalised(data[offsets[lo] : offsets[hi]]), offsets[lo : hi + 1] - offsets[lo])
             x = np.array([features(h, int(k), self.benign, self.context, self.matcher.weight, self.matcher.stem_from) for h, k in zip(hits, n, strict=True)]).reshape(-1, FEATURES)
             out.append(1 / (1 + np.exp(-np.clip(x @ self.w, -30, 30))))
         return np.concatenate(out)
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample: int = 40_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sample: int = 30_000) -> Model:
     """Fit on at most ``sample`` labelled documents (those with the least hash of
     their id) among the ones whose crc32(id as text) mod ``folds`` is not ``fold``."""
     train = _training(docs, labels, folds, fold, sample)
     lexicon = learn_lexicon(train)
     matcher = Matcher(lexicon)
-    known = _collected(train, matcher)
-    forms, around = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
-    for label, _, hits in known:
-        label = int(label == 1)
-        forms[label].update({h[0] for h in hits if h[2]})
-        around[label].update({x for h in hits for x in h[4]})
-    benign = frozenset(f for f, n in forms[0].items() if n > forms[1][f])
-    # Words near hits, by label; a hit's own document label is what they speak for.
-    holders = [max(1, sum(1 for t, _, h in known if h and int(t == 1) == k)) for k in (0, 1)]
-    support = max(5, len(known) // 2000)
-    common = [w for w, _ in (around[0] + around[1]).most_common(2000) if around[0][w] + around[1][w] >= support]
-    context = {w: 0.5 * (math.log((around[1][w] + 1) / (holders[1] + 2)) - math.log((around[0][w] + 1) / (holders[0] + 2))) for w in common} if min(sum(around[0].values()), sum(around[1].values())) else {}
-    y = np.array([int(t == 1) for t, _, _ in known], float)
+    forms, around, holders = _hit_words(train, matcher)
+    benign = frozenset(f for f, (n0, n1) in forms.items() if n0 > n1)
+    # Words near hits, by label; what a document's label says is what they speak for.
+    context = {w: 0.5 * (math.log((n1 + 1) / (holders[1] + 2)) - math.log((n0 + 1) / (holders[0] + 2))) for w, (n0, n1) in around.items() if n0 + n1 >= 5} if min(holders) else {}
+    x, y = _feature_rows(train, matcher, benign, context)
     if len(y) and 0 < y.sum() < len(y):
-        w = fit(np.array([features(h, n, benign, context, matcher.weight, matcher.stem_from) for _, n, h in known]), y)
+        w = fit(x, y)
     else:
         w = np.array([-3.0, 3.0, 2.0, 2.0, -1.0, -0.5, 0.5, 1.0, 0.5, 1.0])
     return Model(lexicon, benign, context, w)
@@ -298,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sam
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.3, sample: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, threshold: float = 0.3, sample: int = 30_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted.
 
     Learns (see :func:`learn`) a lexicon of words and stems, which edited forms
@@ -327,7 +341,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2,
     return scored.select(own.alias("doc_id"), "score").select("doc_id", F.coalesce(rest == fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, fold: int = 2, sample: int = 40_000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, fold: int = 2, sample: int = 30_000) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) that score below the
     threshold, filtered where they are read."""
     model = learn(documents(docs), labels, folds, fold, sample)
