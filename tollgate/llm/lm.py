@@ -4,7 +4,9 @@ A text is a sequence of words and one end. Each token is drawn from the
 training counts, absolutely discounted; the mass taken away goes to a lattice
 over a public subword vocabulary, in which a word's probability is the sum over
 all its segmentations. So every word arc and every segmentation of every word
-is in one lattice, and the score is the marginal probability of the document.
+is in one lattice. A document's own token distribution is drawn around this one
+(Dirichlet), and the score is the marginal probability of the document over all
+segmentations and all such distributions, in log space.
 """
 
 from __future__ import annotations
@@ -189,6 +191,25 @@ def trains(ids: np.ndarray, folds: int, fold: int) -> np.ndarray:
     return np.array([i == NULL_ID or zlib.crc32(str(i).encode()) % folds != fold for i in ids.tolist()], bool)
 
 
+def urn(doc: np.ndarray, word: np.ndarray, value: np.ndarray, size: np.ndarray, prior: float) -> np.ndarray:
+    """log10 marginal probability of each document's tokens (all but the end,
+    which comes once) when its distribution is Dirichlet around 10**value with
+    weight ``prior``: a token's j-th repetition counts prior * p + j.
+    """
+    order = np.lexsort((word, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (word[order][1:] != word[order][:-1])
+    at = np.arange(len(order))
+    again = at - np.maximum.accumulate(np.where(new, at, 0))
+    own = value[word[order]]
+    first = math.log10(prior) + own
+    with np.errstate(under="ignore"):
+        gain = np.where(again == 0, first, np.log10(np.maximum(again, 1) + prior * 10.0**own))
+    total = np.bincount(doc[order], gain, len(size))
+    steps = np.concatenate([[0], np.cumsum(np.log10(prior + np.arange(int(size.max(initial=0)))))])
+    return total - steps[size]
+
+
 def _words(texts: list[bytes]):
     """Of all text blocks of a bucket: ids, words per document, word hashes, and the words' places."""
     ids, count, hashes, body, starts, ends, at = [], [], [], [], [], [], 0
@@ -285,14 +306,15 @@ def train_pieces(vocabulary: DataFrame, path: str, steps: int, floor: float = 0.
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lattice_scores(docs: DataFrame, folds: int = 7, fold: int = 2, tokenizer: str | None = None, steps: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lattice_scores(docs: DataFrame, folds: int = 7, fold: int = 2, tokenizer: str | None = None, steps: int = 2, prior: float = 3000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every whole text; learn from documents whose crc32(id as text) mod
     ``folds`` is not ``fold``.
 
     A-Z are lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end.
     ``base_score``: add-one word unigram, log10. ``score``: log10 of the
-    document's probability under the lattice model. All counts cover all
-    training documents.
+    document's marginal probability under the lattice model, where ``prior`` is
+    how many tokens the corpus weighs against the document's own. All counts
+    cover all training documents.
 
     Null or empty text: the end alone. A null id is learned from. Rows that
     share an id are all scored, and all learned from if one is. No training
@@ -361,7 +383,7 @@ def lattice_scores(docs: DataFrame, folds: int = 7, fold: int = 2, tokenizer: st
             "n_known": pa.array(np.bincount(doc, (known > 0)[back], len(ids)).astype(np.int64) + int(ends > 0)),
             "train_tokens": pa.array(np.full(len(ids), total), pa.int64()),
             "base_score": pa.array(np.bincount(doc, base[back], len(ids)) + end_base),
-            "score": pa.array(np.bincount(doc, value[back], len(ids)) + end_score),
+            "score": pa.array(urn(doc, back, value, many + 1, prior) + math.log10(prior) + end_score),
         })
 
     from pyspark.sql.pandas.types import to_arrow_schema
