@@ -33,7 +33,7 @@ _SAME = {"li": (("li",), ("ul", "ol", "dir", "menu")), "dt": (("dt", "dd"), ("dl
 _MAIN = frozenset(("article", "main"))
 #: Words of class and id that mark what stands around an article.
 _AROUND = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist discussion disqus reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager copyright disclaimer skip search tags hidden".split()
+    "ad ads adbox adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist discussion disqus reply replies share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager copyright disclaimer skip search tags hidden".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar form".split())
 _ITEM = frozenset(("p", "td", "pre", "blockquote", "li", "dd", "div", "section", "article", "main", "body", "figcaption", "th"))
@@ -47,8 +47,9 @@ class _Node:
         self.score, self.size, self.links = 0.0, 0, 0
 
 
-def _around(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it is not the article's."""
+def _around(tag: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element's attributes say that it is not the article's; ``inside``
+    an article, a header is the article's own."""
     if tag in ("html", "body"):
         return False
     words: set[str] = set()
@@ -60,7 +61,10 @@ def _around(tag: str, attributes: str) -> bool:
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-    return tag not in _MAIN and not words.isdisjoint(_AROUND) or bool(words & {"comment", "comments", "reply"})
+    around = words & _AROUND
+    if inside:
+        around -= {"header", "tags"}
+    return tag not in _MAIN and bool(around) or bool(words & {"comment", "comments", "reply"})
 
 
 def _blocks(html: str) -> list[tuple[_Node, str, int]]:
@@ -155,7 +159,7 @@ def _blocks(html: str) -> list[tuple[_Node, str, int]]:
                     pop_to(i)
                     break
         inside = any(n.tag in _MAIN for n in stack)
-        drop = stack[-1].drop or tag in _DROP or tag == "header" and not inside or bool(attributes) and _around(tag, attributes)
+        drop = stack[-1].drop or tag in _DROP or tag == "header" and not inside or bool(attributes) and _around(tag, attributes, inside)
         stack.append(_Node(tag, stack[-1], drop))
         link = 0
     flush()
@@ -169,7 +173,8 @@ def main_text(html: str | None) -> str:
     to three for its length; its element gets them whole, the next ancestor
     half, those above a third, a quarter and so on. A container's score is
     multiplied by one minus the share of its characters that stand in links.
-    The best container is kept, with those siblings that score a fifth of it or
+    The best container is kept (the whole article or main element that it is part
+    of), with those siblings that score a fifth of it or
     are long paragraphs with few links. Without any scoring block, the longest
     container counts. Null, empty and text-free pages give an empty string.
     """
@@ -202,6 +207,12 @@ def main_text(html: str | None) -> str:
         best = max((n for n in touched.values() if n.tag in _MAIN), key=lambda n: n.size, default=None) or max(touched.values(), key=lambda n: (n.size - n.links, n.tag not in ("html", "body")))
         if best.size - best.links <= 0 and best.tag not in _MAIN:
             return ""
+    # A part of a marked article stands for all of it.
+    n = best
+    while n is not None and n.tag not in _MAIN:
+        n = n.parent
+    if n is not None and n.links < 0.5 * n.size:
+        best = n
     least = max(0.2 * value(best), 1.0)
 
     def kept(node: _Node, line: str, linked: int) -> bool:
