@@ -249,11 +249,12 @@ class CustomDict(Detector):
             return none()
         score, kind = CHECKED, "custom_term"
         found = []
-        if own and len(own) <= self.native_terms and not any(map(_overlaps_itself, own)):
+        native = [t for t in own if not _overlaps_itself(t)] if len(own) <= self.native_terms else []
+        if native:
             folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-            found += [findings(find_spans(folded, re.escape(t).replace(r"\ ", " ")), part, self.name, kind, score) for t in own]
-        elif own:
-            found.append(findings(keyword_spans(own)(text), part, self.name, kind, score))
+            found += [findings(find_spans(folded, re.escape(t).replace(r"\ ", " ")), part, self.name, kind, score) for t in native]
+        if len(native) < len(own):
+            found.append(findings(keyword_spans([t for t in own if t not in set(native)])(text), part, self.name, kind, score))
         found += [findings(find_spans(text, r), part, self.name, kind, score) for r in self.regexes]
         return suppress_contained(F.concat(*found))
 

@@ -49,7 +49,7 @@ PAYLOADS = (
     " mail jane.doe@mail.example.com please",
     " go to https://sub.good.example.com/x?q=a+b then",
 )
-TERMS = ("bluebird", "scheduled works")
+TERMS = ("bluebird", "scheduled work")
 ALLOWED = ("good.example.com",)
 POLICY = """
 tenant: sample
