@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 import tollgate
 from tollgate.llm.binpack import pack_documents
-from tollgate.llm.common import materialize
+from tollgate.llm.common import documents, materialize
 from tollgate.llm.decontam import contaminated
-from tollgate.llm.neardup import near_duplicates
+from tollgate.llm.neardup import duplicate_classes, numbered
 from tollgate.llm.suffixes import suffix_dedup
 from tollgate.llm.toxicity import without_toxic
 
@@ -27,10 +27,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays."""
+    """Of each class of near duplicates one document stays, of the smallest id.
+
+    Documents are told apart by id and text: those that share an id, or have
+    none, are dropped only for a text that stays. Exact copies of a row with its
+    id are one document, texts without words too.
+    """
     tollgate.ship(spark)
-    kept = near_duplicates(docs).where("keep or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"])
+    own = numbered(docs.select(*COLUMNS))
+    kept = duplicate_classes(documents(docs)).where("keep").select(F.col("doc_id").alias("kept_id"), F.col("text_a").alias("kept_a"), F.col("text_b").alias("kept_b")).distinct()
+    same = own["doc_id"].eqNullSafe(kept["kept_id"]) & (own["text_a"] == kept["kept_a"]) & (own["text_b"] == kept["kept_b"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text_a", "text_b"]).select(*COLUMNS)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,12 @@ def test_packing_holds_every_document(spark, stages):
 
 def test_run(spark, stages):
     assert P.run(spark, SF).count() == stages[-1][2].count()
+
+
+def test_near_duplicates_are_told_apart_by_text_and_not_by_id(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " tail"), (7, c), (7, d), (8, d), (9, b), (9, ""), (None, None), (10, c + " tail"), (7, d)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted((t or "")[:1] for _, t in kept) == ["", "", "a", "b", "c", "d"]
+    assert {(i, (t or "")[:1]) for i, t in kept} == {(None, "a"), (None, "b"), (7, "c"), (7, "d"), (9, ""), (None, "")}

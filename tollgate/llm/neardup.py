@@ -101,7 +101,13 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, probability_jaccard(x, y))
 
 
-SIGNS = "doc_id long, key_a long, key_b long, bands array<long>"
+SIGNS = "doc_id long, text_a long, text_b long, key_a long, key_b long, bands array<long>"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """With the 128-bit hash of the text, which together with the id names a row
+    but for exact copies of it."""
+    return docs.withColumns({"text_a": F.xxhash64("text"), "text_b": F.xxhash64(F.lit(1), "text")})
 
 
 def signatures(docs: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
@@ -122,29 +128,32 @@ def signatures(docs: DataFrame, size: int, bands: int, per_band: int) -> DataFra
                 none = np.bincount(doc, minlength=n) == 0
                 flat = pa.array(b.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat, mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "key_a", "key_b", "bands"])
+                own = [batch.column(c).slice(lo, n) for c in ("text_a", "text_b")]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), *own, pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "text_a", "text_b", "key_a", "key_b", "bands"])
 
     return docs.mapInArrow(sign, SIGNS)
 
 
-def _bodies(docs: DataFrame) -> DataFrame:
+def _bodies(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, body) of the nodes (node, doc_id, text_a, text_b)."""
+
     def squeeze(batches):
         for batch in batches:
             ids, data, offsets = text_columns(batch)
             raw = data.tobytes()
             body = [(offsets[i + 1] - offsets[i]).tobytes() + compress(raw[offsets[i] : offsets[i + 1]]) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(body, pa.binary())], ["doc_id", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("text_a"), batch.column("text_b"), pa.array(body, pa.binary())], ["doc_id", "text_a", "text_b", "body"])
 
-    return docs.mapInArrow(squeeze, "doc_id long, body binary")
+    name = ["doc_id", "text_a", "text_b"]
+    return docs.mapInArrow(squeeze, "doc_id long, text_a long, text_b long, body binary").dropDuplicates(name).join(nodes, name).select("node", "body")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. Each text travels once
-    for every pair that it is in; a document in very many pairs is split by the
-    skew-aware join."""
-    bodies = _bodies(docs)
-    left = pairs.join(bodies, pairs["a"] == bodies["doc_id"]).select("a", "b", F.col("body").alias("one"))
-    both = left.join(bodies, left["b"] == bodies["doc_id"]).select("a", "b", "one", F.col("body").alias("two"))
+def verified(bodies: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough. Each text travels
+    once for every pair that it is in; a document in very many pairs is split by
+    the skew-aware join."""
+    left = pairs.join(bodies, pairs["a"] == bodies["node"]).select("a", "b", F.col("body").alias("one"))
+    both = left.join(bodies, left["b"] == bodies["node"]).select("a", "b", "one", F.col("body").alias("two"))
 
     def compare(batches):
         for batch in batches:
@@ -224,9 +233,52 @@ def _across(members: DataFrame, size: int, threshold: float, block: int) -> Data
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def duplicate_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 30, per_band: int = 5, block: int = 512) -> DataFrame:
+    """One row per document (doc_id, text): doc_id, text_a, text_b (see
+    :func:`numbered`), class_id, class_size, keep; see :func:`near_duplicates`.
+
+    Documents are told apart by their words, never by their ids.
+    """
+    docs = numbered(docs)
+    # The number of a row, fixed by the write, settles which of exact copies stays.
+    signs = materialize(signatures(docs, size, bands, per_band).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    worded = signs.where("bands is not null")
+    # Documents with the same words are one node; one of them stands for all.
+    least = F.min(F.struct("doc_id", "text_a", "text_b", "row"))
+    heads = materialize(worded.groupBy("key_a", "key_b").agg(least.alias("first")).select("key_a", "key_b", "first.*").withColumn("node", F.monotonically_increasing_id()), "heads")
+    firsts = materialize(worded.join(heads.select("row", "node"), "row").select("node", "bands"), "firsts")
+    entries = firsts.select(F.explode(F.array_distinct("bands")).alias("band"), F.col("node").alias("doc"))
+    buckets = entries.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(entries.join(buckets, "band"), "members")
+    near = members.select(F.col("doc").alias("node")).distinct()
+    bodies = materialize(_bodies(docs, heads.select("node", "doc_id", "text_a", "text_b").join(near, "node")), "bodies")
+    stars = members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    linked = materialize(verified(bodies, stars, size, threshold), "links")
+    labels = components(linked)
+    labelled = members.join(labels, members["doc"] == labels["node"], "left").select("band", "doc", "n", F.coalesce("label", "doc").alias("label"))
+    open_bands = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    unsettled = labelled.join(open_bands, "band").join(bodies.withColumnRenamed("node", "doc"), "doc")
+    more = materialize(_across(unsettled, size, threshold, block), "links")
+    labels = materialize(components(linked.unionByName(more)), "labels")
+    known = heads.join(labels, "node", "left").select("key_a", "key_b", F.coalesce("label", "node").alias("label"))
+    whole = signs.select("doc_id", "text_a", "text_b", "row", "key_a", "key_b", F.col("bands").isNotNull().alias("worded"))
+    classed = whole.join(known.withColumn("worded", F.lit(True)), ["key_a", "key_b", "worded"], "left")
+    sizes = classed.where("worded").groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), least.alias("first"))
+    own = classed.join(sizes, "label", "left")
+    class_id = F.coalesce("first.doc_id", "doc_id")
+    return own.select(
+        F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
+        "text_a",
+        "text_b",
+        F.when(class_id != NULL_ID, class_id).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("keep"),
+    )
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, bands: int = 30, per_band: int = 5, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the smallest id of its class),
-    class_size, keep (it is that smallest one).
+    class_size, keep (it is the one row of its class that stays, of the smallest id).
 
     Documents are linked when their shingles of ``size`` words (words
     ``[^\\x20\\x09-\\x0D]+``, unchanged) are similar by ``threshold`` or more, and
@@ -239,30 +291,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     different classes is lost and no group's pairs are listed.
 
     Fewer than ``size`` words: one shingle of them all. No words (null, empty):
-    a class of its own. Null ids count as one smallest id; rows that share an id
-    share a class. Other columns are ignored. An empty table gives no rows.
+    a class of its own. Null ids sort below all others, so a class that has one
+    is named null. Rows that share an id, or have none, are in one class only if
+    their texts are; their classes then have the same name, and ``keep`` still
+    marks one row of each. Other columns are ignored. An empty table gives no rows.
     """
     docs = documents(docs, id_col, text_col)
-    signs = materialize(signatures(docs, size, bands, per_band), "signatures")
-    worded = signs.where("bands is not null")
-    # Documents with the same words: the smallest id stands for all.
-    heads = worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head"))
-    firsts = materialize(worded.join(heads, ["key_a", "key_b"]).where("doc_id = head").select("doc_id", "bands").dropDuplicates(["doc_id"]), "firsts")
-    entries = firsts.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"))
-    buckets = entries.groupBy("band").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(entries.join(buckets, "band"), "members")
-    stars = members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    linked = materialize(verified(docs, stars, size, threshold), "links")
-    labels = components(linked)
-    labelled = members.join(labels, members["doc"] == labels["node"], "left").select("band", "doc", "n", F.coalesce("label", "doc").alias("label"))
-    open_bands = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    unsettled = labelled.join(open_bands, "band").join(_bodies(docs).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "doc"), "doc")
-    more = materialize(_across(unsettled, size, threshold, block), "links")
-    labels = materialize(components(linked.unionByName(more)), "labels")
-    whole = signs.select("doc_id", "key_a", "key_b", F.col("bands").isNotNull().alias("worded"))
-    heads = heads.select("key_a", "key_b", "head", F.lit(True).alias("worded"))
-    classed = whole.join(heads, ["key_a", "key_b", "worded"], "left").withColumn("head", F.coalesce("head", "doc_id"))
-    classed = classed.join(labels, classed["head"] == labels["node"], "left").select("doc_id", F.coalesce("label", "head").alias("class_id"))
-    sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    back = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    return classed.join(sizes, "class_id").select(back.alias("doc_id"), F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "class_size", (F.col("doc_id") == F.col("class_id")).alias("keep"))
+    return duplicate_classes(docs, size, threshold, bands, per_band, block).select("doc_id", "class_id", "class_size", "keep")
