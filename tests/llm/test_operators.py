@@ -434,3 +434,13 @@ def test_queries_cover_all_operators():
 
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     json.dumps(sorted(QUERIES))
+
+
+def test_rare_toxic_terms_behind_many_common_words(spark):
+    from tollgate.llm.toxicity import learn_lexicon
+
+    common, bad = [f"q{k:04d}" for k in range(6000)], [f"{chr(97 + k)}zxw{k}" for k in range(20)]
+    rows = [(1, " ".join([bad[d % 20], *(common[(600 * d + j) % 6000] for j in range(600))])) for d in range(100)]
+    rows += [(0, " ".join(common[(600 * d + j) % 6000] for j in range(600))) for d in range(50)]
+    lexicon = learn_lexicon(spark.createDataFrame([(i, t, y) for i, (y, t) in enumerate(rows)], "doc_id long, text string, toxic int"))
+    assert set(bad) <= {t.decode() for t in lexicon} and not {t.decode() for t in lexicon} & set(common)

@@ -3,6 +3,7 @@ context that tells abuse from quotation."""
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
@@ -92,12 +93,14 @@ def _unique_words(data: np.ndarray, offsets: np.ndarray):
         yield {raw[s[k] : e[k]] for k in range(int(first[i]), int(first[i + 1])) if e[k] - s[k] >= 3}
 
 
-def learn_lexicon(train: DataFrame, most: int = 5_000) -> dict[bytes, float]:
+def learn_lexicon(train: DataFrame) -> dict[bytes, float]:
     """Terms (a trailing * marks a stem) that explain the toxic labels, with weights.
 
-    Words and stems that occur in enough toxic documents are counted in all
-    training documents; then the term that is in most toxic documents not yet
-    explained is taken, again and again. Equal terms: the longer one.
+    Words and stems are counted in all training documents, by label; of those in
+    enough toxic documents and in few others, the term that is in most toxic
+    documents not yet explained is taken, again and again, until none explains
+    enough. Equal terms: the longer one. All counts are made and all terms
+    chosen where the sample is read; what passes comes to the driver.
     """
     toxic = train.where("toxic = 1").count()
     clean = train.count() - toxic
@@ -107,30 +110,25 @@ def learn_lexicon(train: DataFrame, most: int = 5_000) -> dict[bytes, float]:
         for batch in batches:
             labels = batch.column("toxic").to_pylist()
             _, data, offsets = _texts(batch)
-            count: Counter[bytes] = Counter()
+            count: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
             for label, words in zip(labels, _unique_words(data, offsets), strict=True):
-                if label == 1:
-                    count.update(words)
-                    count.update({s for w in words for s in _stems(w)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.binary()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
-
-    frequent = train.where("toxic = 1").mapInArrow(first, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    counted = frequent.orderBy(F.desc("n"), "term").limit(most).collect()
-    candidates = {bytes(r.term): i for i, r in enumerate(counted)}
-
-    def second(batches):
-        plain: Counter[int] = Counter()
-        for batch in batches:
-            _, data, offsets = _texts(batch)
-            for words in _unique_words(data, offsets):
-                plain.update({candidates[x] for w in words for x in (w, *_stems(w)) if x in candidates})
-        yield pa.RecordBatch.from_arrays([pa.array(list(plain), pa.int64()), pa.array(list(plain.values()), pa.int64())], ["i", "n"])
-
-    clean_docs = train.where("toxic <> 1")
-    n0 = Counter({r.i: r.n for r in clean_docs.mapInArrow(second, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()})
-    n1 = {candidates[bytes(r.term)]: r.n for r in counted}
-    names = list(candidates)
-    good = {names[i]: i for i in n1 if n1[i] >= 0.8 * (n1[i] + n0[i])}
+                own = count[int(label == 1)]
+                own.update(words)
+                own.update({s for w in words for s in _stems(w)})
+            for label, own in enumerate(count):
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([label] * len(own), pa.int32()), pa.array(list(own.values()), pa.int64())], ["term", "label", "n"])
+
+    def counts(df: DataFrame, label: int) -> DataFrame:
+        return df.mapInArrow(first, "term binary, label int, n long").groupBy("term").agg(F.sum("n").alias(f"n{label}"))
+
+    frequent = counts(train.where("toxic = 1"), 1).where(F.col("n1") >= support)
+    both = frequent.join(counts(train.where("toxic <> 1"), 0), "term", "left").na.fill(0, ["n0"])
+    # n1 >= 0.8 (n1 + n0) without rounding.
+    passed = both.where(5 * F.col("n1") >= 4 * (F.col("n1") + F.col("n0"))).orderBy("term").collect()
+    counted = [(bytes(r.term), r.n1, r.n0) for r in passed]
+    names = [t for t, _, _ in counted]
+    n1, n0 = ([c[k] for c in counted] for k in (1, 2))
+    good = {t: i for i, t in enumerate(names)}
 
     def third(batches):
         for batch in batches:
@@ -139,26 +137,31 @@ def learn_lexicon(train: DataFrame, most: int = 5_000) -> dict[bytes, float]:
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary())], ["items"])
 
     by_doc = [np.frombuffer(bytes(r["items"]), np.int32) for r in train.where("toxic = 1").mapInArrow(third, "items binary").toLocalIterator()]
-    holders: dict[int, set[int]] = {}
+    holders: list[list[int]] = [[] for _ in names]
     for d, own in enumerate(by_doc):
         for i in own.tolist():
-            holders.setdefault(i, set()).add(d)
+            holders[i].append(d)
     lexicon: dict[bytes, float] = {}
-
-    def take(i: int) -> None:
+    gain = [len(d) for d in holders]
+    order = sorted(range(len(names)), key=lambda i: (not names[i].endswith(b"*"), len(names[i]), names[i]), reverse=True)
+    place = {i: k for k, i in enumerate(order)}
+    heap = [(-gain[i], place[i]) for i in order]
+    heapq.heapify(heap)
+    explained = np.zeros(len(by_doc), bool)
+    while heap:
+        had, k = heapq.heappop(heap)
+        i = order[k]
+        if gain[i] < support:
+            continue
+        if gain[i] < -had:
+            heapq.heappush(heap, (-gain[i], k))
+            continue
         lexicon[names[i]] = math.log((n1[i] + 0.5) / (toxic + 1)) - math.log((n0[i] + 0.5) / (clean + 1))
-
-    gain = {i: len(d) for i, d in holders.items()}
-    for _ in range(300):
-        best = max(gain, key=lambda i: (gain[i], not names[i].endswith(b"*"), len(names[i]), names[i]), default=None)
-        if best is None or gain[best] < support:
-            break
-        take(best)
-        covered = set(holders[best])
-        for i in list(gain):
-            if covered & holders[i]:
-                holders[i] -= covered
-                gain[i] = len(holders[i])
+        for d in holders[i]:
+            if not explained[d]:
+                explained[d] = True
+                for other in by_doc[d].tolist():
+                    gain[other] -= 1
     for s in SEEDS:
         lexicon.setdefault(s.encode(), 3.0)
     return lexicon
@@ -233,7 +236,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 def _hit_words(train: DataFrame, matcher: Matcher) -> tuple[dict, dict, list[int]]:
     """Of the training documents: edited forms that were hit and words around hits,
     both by label, and the number of documents with hits by label. Counted where
-    they are read; the forms and words that occur most come to the driver."""
+    they are read; the forms that are harmless and the words that are around hits
+    five times or more come to the driver."""
 
     def run(batches):
         count: Counter[tuple] = Counter()
@@ -253,7 +257,7 @@ def _hit_words(train: DataFrame, matcher: Matcher) -> tuple[dict, dict, list[int
     sums = train.mapInArrow(run, "kind string, word binary, label int, n long").groupBy("kind", "word").pivot("label", [0, 1]).agg(F.sum("n")).na.fill(0)
     sums = sums.select("kind", "word", F.col("0").alias("n0"), F.col("1").alias("n1"))
     docs = sums.where("kind = 'doc'").first()
-    top = [sums.where(F.col("kind") == k).orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(n).collect() for k, n in (("form", 5000), ("near", 2000))]
+    top = [sums.where(F.col("kind") == k).where(own).collect() for k, own in (("form", "n0 > n1"), ("near", "n0 + n1 >= 5"))]
     forms, around = ({bytes(r.word): (r.n0, r.n1) for r in t} for t in top)
     return forms, around, [docs.n0, docs.n1] if docs else [0, 0]
 
