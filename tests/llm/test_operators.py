@@ -444,3 +444,16 @@ def test_rare_toxic_terms_behind_many_common_words(spark):
     rows += [(0, " ".join(common[(600 * d + j) % 6000] for j in range(600))) for d in range(50)]
     lexicon = learn_lexicon(spark.createDataFrame([(i, t, y) for i, (y, t) in enumerate(rows)], "doc_id long, text string, toxic int"))
     assert set(bad) <= {t.decode() for t in lexicon} and not {t.decode() for t in lexicon} & set(common)
+
+
+def test_decontamination_looks_at_every_window(spark):
+    from tollgate.llm.decontam import contaminated
+
+    rare, other, common = [f"r{k}" for k in range(4)], [f"b{k}" for k in range(12)], [f"c{k}" for k in range(44)]
+    items = [(0, " ".join(rare + common)), (1, " ".join(other))]
+    # The window of the best cosine begins with the rare terms alone and ends before most of the passage.
+    passage = rare * 2 + [f"n{k}" for k in range(52)] + rare + other[:4] + common
+    rows = [(0, " ".join(passage)), *((k, " ".join(common + [f"m{k}"] * 20)) for k in range(1, 60)), *((k, " ".join(other[k % 9 : k % 9 + 3])) for k in range(60, 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.lcs, r.answer) for r in got] == [(0, 0, 1.0, 1.0)]

@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of the corpus are TF-IDF vectors over the benchmark's own words. A
-distributed randomised SVD of all passages gives a latent space; windows of
-every document are compared there with the benchmark's passages by cosine, and
-candidates are settled by a longest common subsequence and by whether the
-item's informative words (its answer) are there.
+distributed randomised SVD of all passages gives a latent space. Candidates are
+the windows that hold one of an item's rarest terms; they are ordered by cosine
+there, and settled by a longest common subsequence and by whether the item's
+informative words (its answer) are there.
 
 Words outside the benchmark change none of these measures, so the first pass
 keeps only the places of benchmark words, and everything after it works on
@@ -223,7 +223,7 @@ def common_subsequence(masks: dict[int, int], sequence: list[int], size: int) ->
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, start_word long"
 
 
-def _search(places: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, cosine: float, lcs: float, answer: float) -> DataFrame:
+def _search(places: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray, lcs: float, answer: float) -> DataFrame:
     latent = (space * idf[:, None]).astype(np.float32)
     queries = np.stack([latent[p].sum(axis=0) for p in items.pieces])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
@@ -280,23 +280,37 @@ def _search(places: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray,
                         c = np.einsum("ij,ij->i", v, queries[k]) / np.maximum(np.linalg.norm(v, axis=1), 1e-9)
                         better = (back < units[k]) & (c > value)
                         value[better], where[better] = c[better], a[better]
-                    for j in np.flatnonzero(value >= cosine).tolist():
+                    # Whatever the cosine: it only tells which window is looked at first.
+                    for j in range(len(u)):
                         i, piece_no, own_doc = int(where[j]), int(k[j]), int(d[j])
                         key = (own_doc, items.item[piece_no])
                         if key in best and best[key][2] >= 1.0:
                             continue
-                        at0 = STRIDE * (i - int(start[own_doc])) - 2 * STRIDE
-                        f, g = int(first[own_doc]), int(first[own_doc + 1])
-                        a, b = f + int(np.searchsorted(pos[f:g], at0)), f + int(np.searchsorted(pos[f:g], at0 + STRIDE * int(units[piece_no]) + 4 * STRIDE))
-                        sequence, size = term[a:b].tolist(), int(sizes[piece_no])
+                        size, wide = int(sizes[piece_no]), int(units[piece_no])
+                        base, f, g = int(start[own_doc]), int(first[own_doc]), int(first[own_doc + 1])
                         informative, total = known[piece_no]
-                        told = sum(idf[t] for t in informative.intersection(sequence)) / total if total else 1.0
-                        if told < answer:
-                            continue
-                        share = common_subsequence(masks[piece_no], sequence, size) / size
                         least = max(lcs, 0.9) if size < 8 else lcs
-                        if share >= least and (key not in best or best[key][2] < share):
-                            best[key] = (ids[own_doc], float(value[j]), share, told, max(at0, 0))
+
+                        def checked(low: int, high: int) -> tuple[float, float]:
+                            """Shares of the answer and of the common subsequence between two units;
+                            the latter is 0 where the first is too small."""
+                            lo, hi = f + int(np.searchsorted(pos[f:g], STRIDE * (low - base))), f + int(np.searchsorted(pos[f:g], STRIDE * (high - base)))
+                            sequence = term[lo:hi].tolist()
+                            told = sum(idf[t] for t in informative.intersection(sequence)) / total if total else 1.0
+                            return told, common_subsequence(masks[piece_no], sequence, size) / size if told >= answer else 0.0
+
+                        # What all windows around this place hold together bounds what one of them holds.
+                        unit_no = int(u[j])
+                        if checked(unit_no - wide - 1, unit_no + wide + 2)[1] < least:
+                            continue
+                        for window in (i, *(a for a in range(max(unit_no - wide + 1, base), unit_no + 1) if a != i)):
+                            told, share = checked(window - 2, window + wide + 2)
+                            if share >= least and (key not in best or best[key][2] < share):
+                                v = x[min(window + wide, int(start[own_doc + 1]))] - x[window]
+                                near_by = float(v @ queries[piece_no] / max(np.linalg.norm(v), 1e-9))
+                                best[key] = (ids[own_doc], near_by, share, told, max(STRIDE * (window - 2 - base), 0))
+                            if key in best and best[key][2] >= 1.0:
+                                break
                 out = [(v[0], k[1], *v[1:]) for k, v in best.items()]
                 if out:
                     who = np.array([o[0] for o in out], np.int64)
@@ -305,15 +319,16 @@ def _search(places: DataFrame, items: Items, idf: np.ndarray, space: np.ndarray,
     return places.mapInArrow(run, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 32, cosine: float = 0.1, lcs: float = 0.5, answer: float = 0.6, common: float = 0.05, block_items: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 32, lcs: float = 0.5, answer: float = 0.6, common: float = 0.05, block_items: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per contaminated document and benchmark item: doc_id, item_id,
     cosine of the best window, lcs (share of the item's words, in order, in the
     window), answer (share of the item's informative words, by weight) and
     start_word. Clean documents have no row.
 
     A window is compared with an item where it holds one of the item's rarest
-    terms, those without which the answer check can't pass; so no window that
-    could pass is left out, whatever the cosine of the others. Words are
+    terms, those without which the answer check can't pass; every such window
+    goes to the two checks, whatever its cosine in the latent space, which only
+    settles their order. Words are
     lower-cased runs of letters and digits. Terms that are in more
     than a share ``common`` of all passages carry no weight, unless an item has
     fewer than four others. Items come in blocks of ``block_items``, each
@@ -344,7 +359,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = 32, cosine:
         idf = np.maximum(idf, 0)
         idf[(idf == 0) & ~often] = 1e-3
         space = latent_space(places, idf, rank)
-        own = _search(places, items, idf, space, cosine, lcs, answer)
+        own = _search(places, items, idf, space, lcs, answer)
         found = own if found is None else found.unionByName(own)
     if found is None:
         return spark.createDataFrame([], FOUND)
