@@ -457,3 +457,43 @@ def test_decontamination_looks_at_every_window(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert [(r.doc_id, r.item_id, r.lcs, r.answer) for r in got] == [(0, 0, 1.0, 1.0)]
+
+
+def test_near_duplicates_by_plain_jaccard_alone(spark):
+    from tollgate.llm.neardup import near_duplicates, probability_jaccard, shingles, similarity, weights
+
+    rows = []
+    for k in range(40):
+        base = [f"w{k}x{i}" for i in range(64)]
+        line = [f"l{k}x{i}" for i in range(10)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + line * 100))]
+    own = []
+    for _, t in rows[:2]:
+        raw = t.encode()
+        _, h, count, _ = shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 5)
+        own.append((h, count))
+    every = np.unique(np.concatenate([h for h, _ in own]))
+    x, y = (np.array([dict(zip(h.tolist(), weights(c).tolist(), strict=True)).get(e, 0.0) for e in every.tolist()]) for h, c in own)
+    assert similarity(*own) >= 0.8 > 0.5 > probability_jaccard(x, y)
+    assert probability_jaccard(x, y) <= np.minimum(x / x.sum(), y / y.sum()).sum() + 1e-9
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == i - i % 2 for i in got)
+
+
+def test_near_duplicate_blocks_find_what_weights_alone_link(spark):
+    from tollgate.llm.neardup import _across, compress, shingles, similarity
+
+    # Few plain shingles are shared, but they hold nearly all the weight.
+    words, texts = [f"c{i}" for i in range(5)], []
+    for tail in ("p", "q"):
+        texts.append(" ".join(words * 2000 + [f"{tail}{i}" for i in range(4)]).encode())
+    own = []
+    for raw in texts:
+        _, h, count, _ = shingles(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 5)
+        own.append((h, count))
+    shared = len(np.intersect1d(own[0][0], own[1][0]))
+    plain, most = shared / (len(own[0][0]) + len(own[1][0]) - shared), similarity(*own)
+    assert plain < 0.4 < most
+    rows = [(1, i, i, 2, bytearray(len(t).to_bytes(8, "little") + compress(t))) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "band long, doc long, label long, n long, body binary")
+    assert [(r.a, r.b) for r in _across(members, 5, most - 0.001, 512).collect()] == [(0, 1)]

@@ -111,23 +111,36 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, per_band: int) -> DataFrame:
-    """Per document: the key of its word sequence and its band hashes (null without words)."""
+    """Per document: the key of its word sequence and its band hashes (null without
+    words), twice as many where shingles are repeated: by weights and by the plain set."""
     k = bands * per_band
 
+    def banded(s: np.ndarray) -> np.ndarray:
+        b = np.zeros((len(s), bands), np.uint64)
+        for j in range(per_band):
+            b = mix(b * _C + s[:, j::per_band])
+        return mix(b + np.arange(bands, dtype=np.uint64) * _GOLD)
+
     def sign(batches):
         for batch in batches:
             ids, data, offsets = text_columns(batch)
             for lo, hi in ranges(offsets, 4 << 20):
                 n = hi - lo
                 doc, h, count, keys = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
-                s = prob_minhash(doc, h, weights(count), n, k)
-                b = np.zeros((n, bands), np.uint64)
-                for j in range(per_band):
-                    b = mix(b * _C + s[:, j::per_band])
-                b = mix(b + np.arange(bands, dtype=np.uint64) * _GOLD)
+                b = banded(prob_minhash(doc, h, weights(count), n, k))
                 none = np.bincount(doc, minlength=n) == 0
-                flat = pa.array(b.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), flat, mask=pa.array(none))
+                # Of documents with repeated shingles also the bands of the plain set;
+                # those of all others are that already.
+                again = np.zeros(n, bool)
+                again[doc[count > 1]] = True
+                own = again[doc]
+                place = np.cumsum(again) - 1
+                plain = banded(prob_minhash(place[doc[own]], h[own], np.ones(int(own.sum())), int(again.sum()), k))
+                at = np.concatenate([[0], np.cumsum(bands * (1 + again.astype(np.int32)))]).astype(np.int32)
+                flat = np.zeros(int(at[-1]), np.uint64)
+                flat[at[:-1, None] + np.arange(bands)] = b
+                flat[at[:-1][again][:, None] + bands + np.arange(bands)] = plain
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)), mask=pa.array(none))
                 own = [batch.column(c).slice(lo, n) for c in ("text_a", "text_b")]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), *own, pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists], ["doc_id", "text_a", "text_b", "key_a", "key_b", "bands"])
 
@@ -207,6 +220,9 @@ def _across(members: DataFrame, size: int, threshold: float, block: int) -> Data
                 return x
 
             mark = np.zeros(len(every), np.int32)
+            # Weights as shares of their document's sum.
+            share = np.concatenate([weights(c) / max(weights(c).sum(), 1.0) for _, c in shingled])
+            other = np.zeros(len(every))
             right = mine == j
             for x in np.flatnonzero(mine == i).tolist():
                 # Only what no link has joined to x so far is worth counting.
@@ -220,7 +236,18 @@ def _across(members: DataFrame, size: int, threshold: float, block: int) -> Data
                 shared = np.add.reduceat(mark[flat], heads[length > 0])[np.cumsum(length > 0)[y] - 1]
                 mark[flat[heads[x] : heads[x] + length[x]]] = 0
                 likeness = shared / (length[x] + length[y] - shared)
-                for k in np.flatnonzero((likeness >= threshold) | ((likeness >= 0.4) & (repeated[y] | repeated[x]))).tolist():
+                most = likeness
+                odd = repeated[y] | repeated[x]
+                if odd.any():
+                    # Of each shared shingle the smaller share of its document's weight: their sum
+                    # is at least the probability Jaccard, as sum_j max(x_j / x_i, y_j / y_i) is at
+                    # least sum_j x_j / x_i and sum_j y_j / y_i. What is below it can't be a link.
+                    mine_at = slice(heads[x], heads[x] + length[x])
+                    other[flat[mine_at]] = share[mine_at]
+                    bound = np.add.reduceat(np.minimum(other[flat], share), heads[length > 0])[np.cumsum(length > 0)[y] - 1]
+                    other[flat[mine_at]] = 0
+                    most = np.where(odd, np.maximum(likeness, bound + 1e-9), likeness)
+                for k in np.flatnonzero(most >= threshold).tolist():
                     z = int(y[k])
                     p, q = root(int(label[x])), root(int(label[z]))
                     if p != q and (likeness[k] >= threshold or similarity(shingled[x], shingled[z]) >= threshold):
@@ -285,7 +312,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, band
     classes are the connected components of these links. Documents with the
     same words count once. A pair at the threshold is a candidate with
     probability 1 - (1 - threshold^per_band)^bands (6.7e-6 short of 1 by
-    default). Candidates are first compared with their bucket's smallest member;
+    default), whichever of the two similarities it is by. Candidates are first compared with their bucket's smallest member;
     where a bucket still holds several classes after that, all its members of
     different classes are compared in blocks, so no link between candidates of
     different classes is lost and no group's pairs are listed.
