@@ -497,3 +497,21 @@ def test_near_duplicate_blocks_find_what_weights_alone_link(spark):
     rows = [(1, i, i, 2, bytearray(len(t).to_bytes(8, "little") + compress(t))) for i, t in enumerate(texts)]
     members = spark.createDataFrame(rows, "band long, doc long, label long, n long, body binary")
     assert [(r.a, r.b) for r in _across(members, 5, most - 0.001, 512).collect()] == [(0, 1)]
+
+
+def test_attribute_values_of_any_length():
+    from time import perf_counter
+
+    from tollgate.llm.pages import main_text
+
+    inner = "<p>Leaked words, of no article at all.</p></article><div class='comment'>" * 200
+    text = "Real words, which the article is made of, and more of them."
+    for value in (f'"{inner}"', "'" + inner.replace("'", '"') + "'"):
+        assert main_text(f"<body><article data-props={value}><p>{text}</p><p>{text}</p></article>") == f"{text}\n\n{text}".replace("\n\n", main_text(f"<body><article><p>{text}</p><p>{text}</p></article>")[len(text) : -len(text)])
+    # Quotes that open no value, and one that nothing closes.
+    for tag in ("<p title=don't>", "<p title='x>", '<p class="a"b">', '<p title = "a > b">'):
+        assert main_text(f"<body><article>{tag}{text}</p><p>It is so.</p></article>").startswith(text), tag
+    start = perf_counter()
+    for bad in ('<a x=">"', "<a x='", '<a x="', "<a x=\"'", "<a ="):
+        main_text(bad * 40_000)
+    assert perf_counter() - start < 20

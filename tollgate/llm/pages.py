@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One comment, declaration or tag. A tag's quoted values may hold ">"; where
-#: the quotes don't pair up, it ends at the next ">".
+#: One comment, declaration or tag. A quote after "=" opens a value of any length,
+#: which may hold ">"; a quote elsewhere, or one that nothing closes, is a character
+#: like others. No part gives back what it took, so a page is read once.
 _MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^\"'>]*(?:(?:\"[^\"]{0,4000}\"|'[^']{0,4000}')[^\"'>]*)*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -95,12 +95,12 @@ def _blocks(html: str) -> list[tuple[_Node, str, int]]:
         if not m:
             break
         at = m.end()
-        tag = m[2] or m[5]
+        tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 text.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        tag, closing, attributes = tag.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        tag, closing, attributes = tag.lower(), bool(m[1]), m[3]
         if closing:
             if tag == "a":
                 link = 0
