@@ -20,6 +20,11 @@ from tollgate.llm.toxicity import without_toxic
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """With a number of each row, fixed by the write: ids may repeat or be null."""
+    return materialize(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go."""
     tollgate.ship(spark)
@@ -43,17 +48,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 400 bytes that occur more than once are cut from every text."""
     tollgate.ship(spark)
-    cut = suffix_dedup(docs).select(F.col("doc_id").alias("cut_id"), F.col("text").alias("cut"))
-    rest = docs.select("doc_id", "lang", "source")
-    joined = rest.join(cut, rest["doc_id"].eqNullSafe(cut["cut_id"]))
+    own = _rows(docs)
+    cut = suffix_dedup(own, id_col="row").select(F.col("doc_id").alias("row"), F.col("text").alias("cut"))
+    joined = own.select("row", "doc_id", "lang", "source").join(cut, "row")
     return joined.select("doc_id", F.col("cut").alias("text"), "lang", "source", F.length("cut").cast("long").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     tollgate.ship(spark)
-    leaks = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti").select(*COLUMNS)
+    own = _rows(docs)
+    leaks = contaminated(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row").select(F.col("doc_id").alias("row")).distinct()
+    return own.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,3 +93,12 @@ def test_near_duplicates_are_told_apart_by_text_and_not_by_id(spark):
     kept = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, SF).collect()]
     assert sorted((t or "")[:1] for _, t in kept) == ["", "", "a", "b", "c", "d"]
     assert {(i, (t or "")[:1]) for i, t in kept} == {(None, "a"), (None, "b"), (7, "c"), (7, "d"), (9, ""), (None, "")}
+
+
+def test_later_stages_tell_rows_apart_when_ids_do_not(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text and len(r.text.split()) >= 12)
+    texts = [" ".join(f"{x}{k}" for k in range(20)) for x in "abc"] + [item]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i in (None, 7) for t in texts[:3] if (i, t) != (7, texts[2])] + [(None, item, "en", "web", len(item))], "doc_id long, text string, lang string, source string, n_chars long")
+    before = sorted((str(r.doc_id), r.text) for r in docs.collect())
+    assert sorted((str(r.doc_id), r.text) for r in P.cut_repeated_strings(spark, docs, SF).collect()) == before
+    assert sorted((str(r.doc_id), r.text) for r in P.drop_contaminated(spark, docs, SF).collect()) == [x for x in before if x[1] != item]
