@@ -19,14 +19,11 @@ def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 13, passes: int =
     """Remove every byte covered by a ``length``-byte string that also starts
     anywhere else, in the same document or another.
 
-    Blockwise difference-cover construction. The suffixes at cover positions are
-    ranked first, by the fingerprint of their prefix; a suffix whose samples are
-    all unique cannot repeat and is never sorted. The others are dealt into
-    suffix buckets, ``passes`` ranges of buckets one after the other, and each
-    bucket is sorted alone in memory; ties on the first key, which stand for
-    long common prefixes, are resolved by a second, independent name of the
-    whole window. Order is by name and not by byte value, since only equality of
-    ``length`` bytes matters here.
+    No suffix is sorted and no rank is computed: windows of ``length`` bytes are
+    grouped by hash with the engine of :mod:`tollgate.llm.cover`, sieved by the
+    grams at difference-cover positions, ``passes`` ranges of buckets one after
+    the other. Only equality of windows matters here, not their order. Equal
+    hashes (48 + 32 bits besides the bucket) count as equal bytes.
 
     Returns one row per document: doc_id, n_bytes, n_removed, n_spans (maximal
     removed runs) and the remaining bytes (``text``; a character that lost some
