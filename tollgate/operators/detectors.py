@@ -226,7 +226,8 @@ class CustomDict(Detector):
     """A tenant's terms (substrings, ASCII case ignored, all occurrences) and patterns.
 
     Few terms that can't overlap themselves are matched by built-in expressions;
-    other dictionaries by one Arrow UDF with an Aho-Corasick automaton.
+    other dictionaries by one Arrow UDF that searches each text once for every
+    term, so its work grows with terms times text.
     """
 
     terms: Sequence[str] = ()
