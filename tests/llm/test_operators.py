@@ -78,11 +78,53 @@ def test_substring_dedup(docs, texts):
     assert {r.doc_id: r.text for r in substring_dedup(docs).collect()}[0] is not None
 
 
-@pytest.mark.parametrize(("length", "q", "passes"), [(400, 13, 3), (60, 5, 1)])
-def test_suffix_dedup(docs, texts, length, q, passes):
+@pytest.mark.parametrize("q", [3, 5])
+def test_block_sort(q):
+    from tollgate.llm.blocksort import Block
+
+    rng = np.random.default_rng(q)
+    for _ in range(12):
+        depth, letters = int(rng.integers(40, 120)), int(rng.integers(1, 4))
+        base = rng.integers(97, 97 + letters, 600).astype(np.uint8)
+        text = np.concatenate([base, base[100:400], rng.integers(97, 100, 50).astype(np.uint8), base[30:330]])
+        raw, at = text.tobytes(), rng.permutation(len(text) - depth + 1)
+        block = Block(text, depth, q)
+        count = Counter(raw[i : i + depth] for i in at.tolist())
+        found, number = block.classes(at.copy())
+        repeated = set(found[np.bincount(number)[number] > 1].tolist()) if len(found) else set()
+        assert repeated == {i for i in at.tolist() if count[raw[i : i + depth]] > 1}
+        i, j = rng.choice(at, 300), rng.choice(at, 300)
+        want = [(raw[x : x + depth] > raw[y : y + depth]) - (raw[x : x + depth] < raw[y : y + depth]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        assert block.compare(i, j).tolist() == want
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    """Strings that repeat across the parts in which a long text is read, and a text of one letter."""
+    from tollgate.llm.suffixes import CHUNK, suffix_dedup
+
+    rng = np.random.default_rng(5)
+    body = bytearray(rng.integers(97, 123, 2 * CHUNK + 1000).astype(np.uint8).tobytes())
+    body[CHUNK - 300 : CHUNK + 300] = body[5000:5600]
+    body[2 * CHUNK : 2 * CHUNK + 399] = body[9000:9399]
+    rows = [(1, body.decode()), (2, "a" * 30_000), (3, "b" * 400), (4, "c" * 401), (5, bytes(body[-500:]).decode() + "x")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()}
+    assert got == {1: (len(body), 600 + 600 + 500, 3), 2: (30_000, 30_000, 1), 3: (400, 0, 0), 4: (401, 401, 1), 5: (501, 500, 1)}
+
+
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
     from tollgate.llm.suffixes import suffix_dedup
 
-    got = {r.doc_id: r for r in suffix_dedup(docs, length, q, passes, digest=True).collect()}
+    one, two = "".join(chr(97 + (k * k) % 25) + str(k) for k in range(300)), "".join(chr(97 + (k * 7) % 25) + str(k * 3) for k in range(300))
+    got = suffix_dedup(spark.createDataFrame([(1, one), (1, two), (2, two)], "doc_id long, text string"), digest=True).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in got) == sorted([(1, len(one), 0), (1, len(two), len(two)), (2, len(two), len(two))])
+
+
+@pytest.mark.parametrize(("length", "q", "frequent"), [(400, 5, 5000), (60, 5, 5000), (400, 3, 3)])
+def test_suffix_dedup(docs, texts, length, q, frequent):
+    """With a ``frequent`` of 3 nearly all repeated suffixes are dealt by fingerprints."""
+    from tollgate.llm.suffixes import suffix_dedup
+
+    got = {r.doc_id: r for r in suffix_dedup(docs, length, q, frequent, digest=True).collect()}
     count = Counter(t[k : k + length] for _, t in pairs(texts) for k in range(len(t) - length + 1))
     removed = 0
     for i, t in pairs(texts):

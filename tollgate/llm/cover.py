@@ -12,7 +12,7 @@ symbols that starts at a cover position in both. The engine does this:
    these stretches of text go on, as a written table.
 3. ``windows``: every window of the stretches gets an 80-bit fingerprint plus
    its bucket; one bucket at a time is sorted in memory, and the positions of
-   windows that turn out not to repeat go back to their documents.
+   windows that no earlier document has go back to their documents.
 
 Before anything is dealt, equal keys of a chunk are reduced to one row, so a
 key that a third of all documents share sends one row per chunk. No pairs of
@@ -22,7 +22,7 @@ documents are formed, and nothing goes to the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,19 +59,12 @@ def difference_cover(q: int) -> tuple[int, np.ndarray]:
 
 @dataclass(frozen=True)
 class Rule:
-    """What repeats: windows of ``width`` symbols.
-
-    ``earlier``: a window counts if it also starts in a document with a smaller
-    id; else if it starts anywhere else. ``q``: the prime that sets the cover.
-    ``passes``: key ranges that step 3 takes one after the other, each with its
-    own shuffle, which bounds the disk that is in use at a time.
-    """
+    """What repeats: windows of ``width`` symbols that also start in a document
+    with a smaller id. ``q``: the prime that sets the cover."""
 
     alphabet: object
     width: int
     q: int
-    earlier: bool
-    passes: int = 1
     chunk: int = 1 << 19
     period: int = field(init=False)
     gram: int = field(init=False)
@@ -252,8 +245,8 @@ def _merged_regions(batches, limit: int):
         yield tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
 
 
-def _windows(regions: DataFrame, rule: Rule, n: int, turn: int) -> DataFrame:
-    """Positions of the stretches' windows that do not count as repeated, for one range of keys."""
+def _windows(regions: DataFrame, rule: Rule, n: int) -> DataFrame:
+    """Positions of the stretches' windows that no earlier document has."""
 
     def emit(batches):
         from tollgate.llm.symbols import Windows
@@ -267,9 +260,6 @@ def _windows(regions: DataFrame, rule: Rule, n: int, turn: int) -> DataFrame:
                 pos = np.arange(len(piece)) - np.repeat(np.cumsum(many) - many, many)
                 at = first[piece] + pos
                 key = Windows(symbols)(at, rule.width)
-                if rule.passes > 1:
-                    own = np.flatnonzero((((key & np.uint64(0xFFFF)) * np.uint64(rule.passes)) >> np.uint64(16)) == turn)
-                    key, piece, pos, at = key[own], piece[own], pos[own], at[own]
                 check = (Windows(symbols, 1)(at, rule.width) >> np.uint64(32)).astype(np.uint32)
                 yield from reduced(key, check, ids[lo:hi][piece], pos + start[lo:hi][piece])
 
@@ -278,29 +268,18 @@ def _windows(regions: DataFrame, rule: Rule, n: int, turn: int) -> DataFrame:
             return
         order, group = _groups(key, check)
         heads = np.flatnonzero(np.diff(group, prepend=-1))
-        if rule.earlier:
-            least = np.minimum.reduceat(doc[order], heads)
-            keep = np.sort(order[doc[order] == least[group]])
-            many = np.zeros(len(keep), bool)
-        else:
-            size = np.bincount(group)
-            keep = order[heads]
-            many = size > 1
-            back = np.argsort(keep)
-            keep, many = keep[back], many[back]
+        least = np.minimum.reduceat(doc[order], heads)
+        keep = np.sort(order[doc[order] == least[group]])
         out: list[tuple] = []
-        deal(_key_bucket(key[keep], n), KEYS, [_six(key[keep]), check[keep], many, doc[keep], pos[keep].astype(np.uint32)], out)
+        deal(_key_bucket(key[keep], n), KEYS, [_six(key[keep]), check[keep], doc[keep], pos[keep].astype(np.uint32)], out)
         yield block_batch(out)
 
     def settle(table: pa.Table) -> pa.Table:
-        parts = [decode(b, np.uint8, np.uint32, np.bool_, np.int64, np.uint32) for b in binary_column(table, "block")]
-        key, check, many, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [decode(b, np.uint8, np.uint32, np.int64, np.uint32) for b in binary_column(table, "block")]
+        key, check, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, group = _groups(_from_six(key), check)
-        if rule.earlier:
-            least = np.minimum.reduceat(doc[order], np.flatnonzero(np.diff(group, prepend=-1)))
-            alone = order[doc[order] == least[group]]
-        else:
-            alone = order[(np.bincount(group)[group] == 1) & ~many[order]]
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(np.diff(group, prepend=-1)))
+        alone = order[doc[order] == least[group]]
         out: list[tuple] = []
         _deal_positions(doc[alone], pos[alone], n, UNIQUE, out)
         return block_table(out)
@@ -344,8 +323,7 @@ def repeats(docs: DataFrame, rule: Rule, finish, schema: str) -> DataFrame:
     n = bucket_count(docs)
     packed = packed_texts(docs, n)
     regions = materialize(_regions(packed, _sieve(docs, rule, n), rule, n), "regions")
-    unique = [materialize(_windows(regions, rule, n, k), "unique") for k in range(rule.passes)]
-    found = reduce(DataFrame.unionByName, [_spans(regions), *unique])
+    found = _spans(regions).unionByName(_windows(regions, rule, n))
 
     def last(texts: pa.Table, marks: pa.Table) -> pa.Table:
         where: dict[int, list] = {}

@@ -28,7 +28,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, q: int = 5, id_col: str =
     other, and what is removed at a position of one is removed in all. Other
     columns are ignored. An empty table gives an empty result.
     """
-    rule = Rule(Words(), width, q, earlier=True)
+    rule = Rule(Words(), width, q)
     last = "kept_sha256" if digest else "text"
 
     def finish(ids, data, offsets, covered) -> pa.Table:
