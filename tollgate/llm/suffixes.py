@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tollgate.llm.blocksort import Block
 from tollgate.llm.common import BLOCK, binary_column, block_batch, block_table, bucket_count, bucket_of, deal, decode, documents, encode, mix, nullable_ids, ranges, text_columns
-from tollgate.llm.cover import _from_six, _groups, _key_bucket, _six
+from tollgate.llm.cover import _from_six, _groups, _key_bucket, _six, difference_cover
 from tollgate.llm.symbols import Bytes, Windows
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, text string"
@@ -38,7 +38,7 @@ GRAM = 64
 #: Grams with hashes below this are counted; 337 grams hold one but for a chance of 2e-5.
 COUNTED = np.uint64(1 << 59)
 #: Bytes of text hashed, and sorted, at a time.
-CHUNK, SORTED = 1 << 20, 8 << 20
+CHUNK, SORTED = 1 << 20, 2 << 20
 #: One in so many of a chunk's single grams is counted, as so many.
 THINNED = 16
 
@@ -72,7 +72,8 @@ class _Chunk:
         self.hash = mix((p[gram:] - p[:n]) * self.windows.inverse[:n])
 
     def runs(self, offsets: np.ndarray, length: int, gram: int):
-        """Start and number of the suffixes of each run, their gram's hash, and whether the run holds it twice."""
+        """Start and number of the suffixes of each run, their gram's hash, whether the
+        run holds it twice, and where in the run it is (if it is one that is counted)."""
         wide = length - gram + 1
         low = sliding_least(self.hash, wide)
         n = len(low)
@@ -89,8 +90,10 @@ class _Chunk:
         kinds, group = np.unique(self.hash[at], return_inverse=True)
         place = np.sort(group.astype(np.int64) * (n + length) + at)
         known = np.minimum(np.searchsorted(kinds, value), max(len(kinds) - 1, 0)).astype(np.int64) * (n + length)
-        held = np.searchsorted(place, known + start + count - 1 + wide) - np.searchsorted(place, known + start)
-        return start, count, value, (value >= COUNTED) | (held > 1)
+        first = np.searchsorted(place, known + start)
+        held = np.searchsorted(place, known + start + count - 1 + wide) - first
+        where = place[np.minimum(first, max(len(place) - 1, 0))] - known - start if len(place) else np.zeros(len(start), np.int64)
+        return start, count, value, (value >= COUNTED) | (held > 1), np.where(value < COUNTED, where, 0).astype(np.uint32)
 
 
 def frequent_grams(docs: DataFrame, gram: int, least: int) -> np.ndarray:
@@ -138,14 +141,14 @@ def _emit(docs: DataFrame, length: int, gram: int, frequent: np.ndarray, n: int)
 
     def chunk(ids, tags, moved, data, offsets, out):
         own = _Chunk(data, gram)
-        start, count, value, twice = own.runs(offsets, length, gram)
+        start, count, value, twice, where = own.runs(offsets, length, gram)
         doc = np.searchsorted(offsets, start, "right") - 1
         pos = start - offsets[doc] + moved
         if len(frequent):
             hot = frequent[np.minimum(np.searchsorted(frequent, value), len(frequent) - 1)] == value
             if hot.any():
                 keyed(own, data, start[hot], count[hot], ids[doc[hot]], tags[doc[hot]], pos[hot], out)
-                start, count, value, twice, doc, pos = (x[~hot] for x in (start, count, value, twice, doc, pos))
+                start, count, value, twice, where, doc, pos = (x[~hot] for x in (start, count, value, twice, where, doc, pos))
         raw = data.tobytes()
         first: dict[bytes, int] = {}
         same = np.array([first.setdefault(raw[s : s + c], k) for k, (s, c) in enumerate(zip(start.tolist(), (count + length - 1).tolist(), strict=True))], np.int64)
@@ -153,14 +156,15 @@ def _emit(docs: DataFrame, length: int, gram: int, frequent: np.ndarray, n: int)
         known = np.flatnonzero(copies[same])
         _deal_hits(ids[doc[known]], tags[doc[known]], pos[known], count[known], n, out)
         pieces, head = list(first), np.fromiter(first.values(), np.int64, len(first))
-        bucket = _key_bucket(value[head], n)
+        # The least of many hashes is small: mixed again, buckets are even.
+        bucket = _key_bucket(mix(value[head]), n)
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
         for x, y in zip(cut, cut[1:], strict=False):
             k = order[x:y]
             h = head[k]
             body = b"".join(pieces[i] for i in k.tolist())
-            out.append((int(bucket[k[0]]), PIECES, encode(value[h], count[h].astype(np.uint32), ids[doc[h]], tags[doc[h]], pos[h].astype(np.uint32), copies[h], twice[h], np.frombuffer(body, np.uint8))))
+            out.append((int(bucket[k[0]]), PIECES, encode(value[h], count[h].astype(np.uint32), ids[doc[h]], tags[doc[h]], pos[h].astype(np.uint32), where[h], copies[h], twice[h], np.frombuffer(body, np.uint8))))
 
     def keyed(own, data, start, count, ids, tags, pos, out):
         run = np.repeat(np.arange(len(start)), count)
@@ -188,16 +192,16 @@ def _settle_keys(blocks: list[bytes], n: int, out: list) -> None:
     _deal_hits(doc[hit], tag[hit], pos[hit], np.ones(len(hit)), n, out)
 
 
-def _settle_pieces(blocks: list[bytes], length: int, q: int, n: int, out: list) -> None:
+def _settle_pieces(blocks: list[bytes], length: int, gram: int, q: int, n: int, out: list) -> None:
     """Hits among a bucket's pieces, in blocks of whole grams."""
     if not blocks:
         return
-    parts = [decode(b, np.uint64, np.uint32, np.int64, np.uint32, np.uint32, np.bool_, np.bool_, np.uint8) for b in blocks]
-    value, count, doc, tag, pos, many, twice = (np.concatenate([p[k] for p in parts]) for k in range(7))
+    parts = [decode(b, np.uint64, np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.bool_, np.bool_, np.uint8) for b in blocks]
+    value, count, doc, tag, pos, where, many, twice = (np.concatenate([p[k] for p in parts]) for k in range(8))
     count, home = count.astype(np.int64), np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     size = count + length - 1
     end = np.cumsum(size)
-    bodies, base = [p[7] for p in parts], np.concatenate([[0], np.cumsum([len(p[7]) for p in parts])])
+    bodies, base = [p[8] for p in parts], np.concatenate([[0], np.cumsum([len(p[8]) for p in parts])])
     start = end - size - base[home]
     order, group = _groups(value)
     members = np.bincount(group)
@@ -206,13 +210,13 @@ def _settle_pieces(blocks: list[bytes], length: int, q: int, n: int, out: list)
     order, group = order[keep], group[keep]
     cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1)) if len(group) else np.zeros(0, np.int64)
     hits: list[tuple] = []
-    waiting: list[tuple[int, bytes, bool]] = []
-    held = 0
+    waiting: list[tuple[int, bytes, bool, int, int]] = []
+    held, period = 0, difference_cover(q)[0]
 
     def flush() -> None:
         nonlocal held
         if waiting:
-            hits.extend(_sorted_hits(waiting, count, length, q))
+            hits.extend(_sorted_hits(waiting, gram, count, length, q))
             waiting.clear()
             held = 0
 
@@ -220,13 +224,16 @@ def _settle_pieces(blocks: list[bytes], length: int, q: int, n: int, out: list)
         same: dict[bytes, list[int]] = {}
         for k in order[x:y].tolist():
             same.setdefault(bodies[home[k]][start[k] : start[k] + size[k]].tobytes(), []).append(k)
-        again = len(same) > 1 or any(twice[k[0]] for k in same.values())
+        unsure = any(twice[k[0]] for k in same.values())
+        again = len(same) > 1 or unsure
         for piece, own in same.items():
             repeated = len(own) > 1 or bool(many[own[0]])
             if len(own) > 1:
                 hits += [(k, 0, int(count[k])) for k in own if not many[k]]
             if again:
-                waiting.append((own[0], piece, repeated))
+                # Filled up so that a gram's places have one residue: one shift then fits them all.
+                piece = bytes(-(held + int(where[own[0]])) % period) + piece
+                waiting.append((own[0], piece, repeated, x, -1 if unsure else int(where[own[0]])))
                 held += len(piece)
         if held >= SORTED:
             flush()
@@ -236,22 +243,30 @@ def _settle_pieces(blocks: list[bytes], length: int, q: int, n: int, out: list)
         _deal_hits(doc[k], tag[k], pos[k] + step, run, n, out)
 
 
-def _sorted_hits(waiting: list[tuple[int, bytes, bool]], count: np.ndarray, length: int, q: int) -> list[tuple]:
+def _sorted_hits(waiting: list[tuple[int, bytes, bool, int, int]], gram: int, count: np.ndarray, length: int, q: int) -> list[tuple]:
     """(piece, first suffix, number of suffixes) of runs of repeated suffixes, of
     those pieces that aren't known to be repeated as a whole."""
-    text = np.frombuffer(b"".join(p for _, p, _ in waiting), np.uint8)
-    many = count[[k for k, _, _ in waiting]]
-    base = np.cumsum([0, *(len(p) for _, p, _ in waiting)])[:-1]
+    text = np.frombuffer(b"".join(x[1] for x in waiting), np.uint8)
+    many = count[[x[0] for x in waiting]]
+    base = np.cumsum([len(x[1]) for x in waiting]) - many - length + 1
+    number = np.unique([x[3] for x in waiting], return_inverse=True)[1]
+    where = np.array([x[4] for x in waiting])
     own = np.repeat(np.arange(len(waiting)), many)
     step = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-    at, number = Block(text, length, q).classes(base[own] + step)
+    # Equal suffixes have their gram in one place, if they hold it once.
+    bucket = number[own] * (length - gram + 1) + np.where(where[own] < 0, 0, where[own] - step)
+    at, number = Block(text, length, q).classes(base[own] + step, bucket)
     hit = np.zeros(len(text) + 1, bool)
     hit[at[np.bincount(number)[number] > 1]] = True
     out = []
-    for (k, _, known), b, m in zip(waiting, base.tolist(), many.tolist(), strict=True):
+    for (k, _, known, *_), b, m in zip(waiting, base.tolist(), many.tolist(), strict=True):
         if not known:
-            edge = np.flatnonzero(np.diff(hit[b : b + m].astype(np.int8), prepend=0, append=0))
-            out += [(k, int(s), int(e - s)) for s, e in zip(edge[::2], edge[1::2], strict=True)]
+            own = hit[b : b + m]
+            if own.all():
+                out.append((k, 0, m))
+            elif own.any():
+                edge = np.flatnonzero(np.diff(own.view(np.int8), prepend=0, append=0)).tolist()
+                out += [(k, s, e - s) for s, e in zip(edge[::2], edge[1::2], strict=True)]
     return out
 
 
@@ -313,7 +328,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 5, frequent: int =
         bucket = t.column("bucket")[0].as_py()
         out = [(bucket, HITS, b) for b in by[HITS]]
         _settle_keys(by[KEYS], n, out)
-        _settle_pieces(by[PIECES], length, q, n, out)
+        _settle_pieces(by[PIECES], length, gram, q, n, out)
         return block_table(out)
 
     found = _emit(docs, length, gram, hot, n).groupBy("bucket").applyInArrow(settle, BLOCK)
