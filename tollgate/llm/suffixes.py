@@ -37,8 +37,8 @@ PIECES, KEYS, HITS = 0, 1, 2
 GRAM = 64
 #: Grams with hashes below this are counted; 337 grams hold one but for a chance of 2e-5.
 COUNTED = np.uint64(1 << 59)
-#: Bytes of text hashed, and sorted, at a time.
-CHUNK, SORTED = 1 << 20, 2 << 20
+#: Bytes of text hashed, of pieces dealt, and of pieces sorted, at a time.
+CHUNK, WAITING, SORTED = 1 << 20, 24 << 20, 2 << 20
 #: One in so many of a chunk's single grams is counted, as so many.
 THINNED = 16
 
@@ -129,15 +129,25 @@ def _emit(docs: DataFrame, length: int, gram: int, frequent: np.ndarray, n: int)
     """Pieces and keys for their buckets, and what chunks know already for the documents'."""
 
     def run(batches):
+        waiting: list[tuple] = []
+        held = 0
         for batch in batches:
             ids, data, offsets = text_columns(batch)
             tags = batch.column("tag").to_numpy().astype(np.uint32)
             for a, b, lo, hi in _segments(offsets, length):
                 out: list[tuple] = []
                 own = np.clip(offsets[a : b + 1], lo, hi) - lo
-                chunk(ids[a:b], tags[a:b], lo - offsets[a] if b == a + 1 else 0, data[lo:hi], own, out)
+                waiting.append(chunk(ids[a:b], tags[a:b], lo - offsets[a] if b == a + 1 else 0, data[lo:hi], own, out))
+                held += int(waiting[-1][1].sum()) + len(waiting[-1][1]) * length
+                if held >= WAITING:
+                    reduced(waiting, out)
+                    waiting, held = [], 0
                 if out:
                     yield block_batch(out)
+        if waiting:
+            out = []
+            reduced(waiting, out)
+            yield block_batch(out)
 
     def chunk(ids, tags, moved, data, offsets, out):
         own = _Chunk(data, gram)
@@ -150,11 +160,17 @@ def _emit(docs: DataFrame, length: int, gram: int, frequent: np.ndarray, n: int)
                 keyed(own, data, start[hot], count[hot], ids[doc[hot]], tags[doc[hot]], pos[hot], out)
                 start, count, value, twice, where, doc, pos = (x[~hot] for x in (start, count, value, twice, where, doc, pos))
         raw = data.tobytes()
+        pieces = [raw[s : s + c] for s, c in zip(start.tolist(), (count + length - 1).tolist(), strict=True)]
+        return value, count.astype(np.uint32), ids[doc], tags[doc], pos.astype(np.uint32), where, twice, pieces
+
+    def reduced(waiting, out):
+        """Deal pieces, equal ones once; that these are repeated is known here."""
+        value, count, doc, tag, pos, where, twice = (np.concatenate([w[k] for w in waiting]) for k in range(7))
         first: dict[bytes, int] = {}
-        same = np.array([first.setdefault(raw[s : s + c], k) for k, (s, c) in enumerate(zip(start.tolist(), (count + length - 1).tolist(), strict=True))], np.int64)
+        same = np.array([first.setdefault(p, k) for k, p in enumerate(p for w in waiting for p in w[7])], np.int64)
         copies = np.bincount(same, minlength=len(same)) > 1
         known = np.flatnonzero(copies[same])
-        _deal_hits(ids[doc[known]], tags[doc[known]], pos[known], count[known], n, out)
+        _deal_hits(doc[known], tag[known], pos[known], count[known], n, out)
         pieces, head = list(first), np.fromiter(first.values(), np.int64, len(first))
         # The least of many hashes is small: mixed again, buckets are even.
         bucket = _key_bucket(mix(value[head]), n)
@@ -164,7 +180,7 @@ def _emit(docs: DataFrame, length: int, gram: int, frequent: np.ndarray, n: int)
             k = order[x:y]
             h = head[k]
             body = b"".join(pieces[i] for i in k.tolist())
-            out.append((int(bucket[k[0]]), PIECES, encode(value[h], count[h].astype(np.uint32), ids[doc[h]], tags[doc[h]], pos[h].astype(np.uint32), where[h], copies[h], twice[h], np.frombuffer(body, np.uint8))))
+            out.append((int(bucket[k[0]]), PIECES, encode(value[h], count[h], doc[h], tag[h], pos[h], where[h], copies[h], twice[h], np.frombuffer(body, np.uint8))))
 
     def keyed(own, data, start, count, ids, tags, pos, out):
         run = np.repeat(np.arange(len(start)), count)
