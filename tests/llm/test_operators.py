@@ -441,6 +441,97 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert (s[0] == s[1]).mean() == pytest.approx(probability_jaccard(wa, wb), abs=0.03)
 
 
+def _mass(word: bytes, p: dict[bytes, float], longest: int) -> tuple[list[float], list[float]]:
+    """Forward and backward mass of all segmentations of a spelled word, plainly."""
+    forward, backward = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+    for e in range(1, len(word) + 1):
+        forward[e] = sum(forward[s] * p.get(word[s:e], 0.0) for s in range(max(0, e - longest), e))
+    for s in range(len(word) - 1, -1, -1):
+        backward[s] = sum(backward[e] * p.get(word[s:e], 0.0) for e in range(s + 1, min(len(word), s + longest) + 1))
+    return forward, backward
+
+
+def test_lattice_scores_against_plain_sums(spark):
+    """Counts, expectation maximisation, mixture, urn and end, all again by plain loops."""
+    from tollgate.llm.lm import lattice, lattice_scores
+    from tollgate.llm.tokens import default_path
+
+    texts = {1: "the cat sat on the mat", 2: "The dog sat", 3: "", 4: "zebra zebra the cat qxzj", 5: "the the the dog", 9: "mat cat", 11: "a cat saw a zebra saw a cat"}
+    got = {r.doc_id: r for r in lattice_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), steps=1, prior=50.0).collect()}
+    model = lattice(default_path())
+    pieces, end = model.pieces, model.end
+    p = dict(zip([*pieces, None], np.exp(model.start()).tolist(), strict=True))
+    words = {i: t.lower().encode().split() for i, t in texts.items()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 0 < len(train) < len(texts)
+    count = Counter(w for i in train for w in words[i])
+    total, kinds = sum(count.values()) + len(train), len(count) + 1
+    expected: Counter = Counter()
+    for w in count:
+        spelled = b" " + w
+        f, b = _mass(spelled, p, model.longest)
+        for s in range(len(spelled)):
+            for e in range(s + 1, len(spelled) + 1):
+                if spelled[s:e] in p:
+                    expected[spelled[s:e]] += f[s] * p[spelled[s:e]] * b[e] / f[-1]
+        expected[None] += 1
+    mass = sum(0.01 + expected[x] for x in [*pieces, None])
+    p = {x: (0.01 + expected[x]) / mass for x in [*pieces, None]}
+    assert end == len(pieces)
+    often = [*count.values(), len(train)]
+    once, twice = often.count(1), often.count(2)
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.95)
+    spare = discount * kinds / total
+
+    def chance(w: bytes) -> float:
+        return max(count[w] - discount, 0) / total + spare * _mass(b" " + w, p, model.longest)[0][-1] * p[None]
+
+    for i, own in words.items():
+        lattice_score = sum(math.log10(chance(w)) for w in own) + math.log10((len(train) - discount) / total)
+        seen: Counter = Counter()
+        score = 0.0
+        for j, w in enumerate(own):
+            score += math.log10((50.0 * chance(w) + seen[w]) / (50.0 + j))
+            seen[w] += 1
+        score += math.log10(50.0 * (len(train) - discount) / total / (50.0 + len(own)))
+        assert math.isclose(got[i].lattice_score, lattice_score, rel_tol=1e-6)
+        assert math.isclose(got[i].score, score, rel_tol=1e-6)
+        assert got[i].train_tokens == total and got[i].n_known == sum(w in count for w in own) + 1
+
+
+def test_long_words_have_the_mass_of_the_plain_recursion():
+    from tollgate.llm import lm
+    from tollgate.llm.tokens import default_path
+
+    model = lm.lattice(default_path())
+    logp = model.start()
+    p = dict(zip(model.pieces, np.exp(logp).tolist(), strict=False))
+    long, short = (b"thereading=" * 90)[: lm.LONG + 100], b"thereading=" * 20
+    data = np.frombuffer(long + short, np.uint8)
+    starts, size = np.array([0, len(long)]), np.array([len(long), len(short)])
+    got = model.log_probabilities(data, starts, size, logp)
+    assert math.isclose(got[1], math.log(_mass(b" " + short, p, model.longest)[0][-1]) + logp[model.end], rel_tol=1e-9)
+    lm_all = lm.LONG
+    try:
+        lm.LONG = 10
+        assert np.allclose(model.log_probabilities(data, starts, size, logp), got, rtol=1e-9)
+        parts = model.expected(data, starts, size, logp)
+        lm.LONG = 10_000
+        assert np.allclose(model.log_probabilities(data, starts, size, logp), got, rtol=1e-9)
+        assert np.allclose(model.expected(data, starts, size, logp), parts, rtol=1e-6, atol=1e-9)
+    finally:
+        lm.LONG = lm_all
+
+
+def test_words_with_many_marks_at_their_edges():
+    from tollgate.llm.toxicity import normalised, spans
+
+    text = b"!" * 30 + b"idiot" + b"." * 12 + b" -- ok!! " + b"*" * 9
+    data = normalised(np.frombuffer(text, np.uint8))
+    starts, size, _ = spans(data, np.array([0, len(data)]))
+    assert [text[s : s + n] for s, n in zip(starts.tolist(), size.tolist(), strict=True)] == [b"idiot", b"", b"ok", b""]
+
+
 def test_components(spark):
     from tollgate.llm.graph import components
 

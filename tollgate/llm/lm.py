@@ -28,8 +28,8 @@ from tollgate.llm.tokens import default_path
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Longest piece used, in bytes.
-LONGEST = 16
+#: Words of more bytes are taken one by one.
+LONG = 512
 
 
 def piece_bytes(token: str) -> bytes:
@@ -57,13 +57,14 @@ class Lattice:
             vocabulary = json.load(f)["model"]["vocab"]
         pieces = {}
         for token, i in vocabulary.items():
-            if all(c in _alphabet() for c in token) and len(p := piece_bytes(token)) <= LONGEST and b" " not in p[1:]:
+            if all(c in _alphabet() for c in token) and b" " not in (p := piece_bytes(token))[1:]:
                 pieces[p] = i
         for b in range(256):
             pieces.setdefault(bytes([b]), len(vocabulary) + b)
         ordered = sorted(pieces, key=pieces.__getitem__)
         self.pieces = ordered
         self.end = len(ordered)
+        self.longest = max(map(len, ordered))
         edges: dict[int, int] = {}
         marks = [-1]
         for i, p in enumerate(ordered):
@@ -116,7 +117,7 @@ class Lattice:
         for s in range(text.shape[1]):
             own = np.flatnonzero(size > s)
             node = np.zeros(len(own), np.int32)
-            for at in range(s, min(s + LONGEST, text.shape[1])):
+            for at in range(s, min(s + self.longest, text.shape[1])):
                 if at > s:
                     longer = size[own] > at
                     own, node = own[longer], node[longer]
@@ -132,6 +133,7 @@ class Lattice:
 
     def _batches(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray):
         order, at = np.argsort(size, kind="stable"), 0
+        order = order[size[order] <= LONG]
         padded = np.concatenate([data, np.zeros(1, np.uint8)])
         while at < len(order):
             # As many words of ascending size as keep the padded batch small.
@@ -157,6 +159,8 @@ class Lattice:
             for s, e, words, marks in self._arcs(text, n):
                 alpha[words, e] = np.logaddexp(alpha[words, e], alpha[words, s] + logp[marks])
             out[own] = alpha[np.arange(len(own)), n] + logp[self.end]
+        for k in np.flatnonzero(size > LONG).tolist():
+            out[k] = self._forward(_spelled(data, starts[k], size[k]), logp)[-1] + logp[self.end]
         return out
 
     def expected(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -178,8 +182,57 @@ class Lattice:
             for s, e, words, marks in arcs:
                 total += np.bincount(marks, np.exp(alpha[words, s] + logp[marks] + beta[words, e] - whole[words]), len(total))
             total[self.end] += len(own)
+        for k in np.flatnonzero(size > LONG).tolist():
+            text = _spelled(data, starts[k], size[k])
+            alpha, beta = self._forward(text, logp), np.full(len(text) + 1, -np.inf)
+            beta[-1] = 0
+            for lo in range((len(text) - 1) // _PART * _PART, -1, -_PART):
+                s, e, marks = self._arcs_from(text, lo, min(lo + _PART, len(text)))
+                value, cut = logp[marks], np.searchsorted(s, np.arange(lo, min(lo + _PART, len(text)) + 1)).tolist()
+                for at in range(len(cut) - 2, -1, -1):
+                    a, b = cut[at], cut[at + 1]
+                    beta[lo + at] = np.logaddexp.reduce(value[a:b] + beta[e[a:b]])
+                total += np.bincount(marks, np.exp(alpha[s] + value + beta[e] - alpha[-1]), len(total))
+            total[self.end] += 1
         return total
 
+    def _arcs_from(self, text: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of the arcs of one word that start in a range, by start."""
+        own, node, out = np.arange(lo, hi), np.zeros(hi - lo, np.int32), []
+        for k in range(self.longest):
+            inside = own + k < len(text)
+            own, node = own[inside], node[inside]
+            node = self._step(node, text[own + k])
+            own, node = own[node > 0], node[node > 0]
+            if not len(own):
+                break
+            has = self.mark[node] >= 0
+            out.append((own[has], own[has] + k + 1, self.mark[node[has]]))
+        s, e, marks = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(s, kind="stable")
+        return s[order], e[order], marks[order]
+
+    def _forward(self, text: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """Log mass of all segmentations up to each byte of one long word; arcs are
+        looked up for a part of it at a time."""
+        alpha = np.full(len(text) + 1, -np.inf)
+        alpha[0] = 0
+        for lo in range(0, len(text), _PART):
+            s, e, marks = self._arcs_from(text, lo, min(lo + _PART, len(text)))
+            value, cut = logp[marks], np.searchsorted(s, np.arange(lo, min(lo + _PART, len(text)) + 1)).tolist()
+            for at, (a, b) in enumerate(zip(cut, cut[1:], strict=False), lo):
+                to = e[a:b]
+                alpha[to] = np.logaddexp(alpha[to], alpha[at] + value[a:b])
+        return alpha
+
+
+#: Bytes of a long word at a time.
+_PART = 1 << 15
+
+
+def _spelled(data: np.ndarray, start: int, size: int) -> np.ndarray:
+    return np.concatenate([np.array([32], np.uint8), data[start : start + size]])
+
 
 @lru_cache(maxsize=1)
 def lattice(path: str) -> Lattice:
@@ -303,7 +356,7 @@ def train_pieces(vocabulary: DataFrame, path: str, steps: int, floor: float = 0.
     return logp
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
 def lattice_scores(docs: DataFrame, folds: int = 7, fold: int = 2, tokenizer: str | None = None, steps: int = 2, prior: float = 3000.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,10 +364,12 @@ def lattice_scores(docs: DataFrame, folds: int = 7, fold: int = 2, tokenizer: st
     ``folds`` is not ``fold``.
 
     A-Z are lower-cased; tokens are words ``[^\\x20\\x09-\\x0D]+`` and one end.
-    ``base_score``: add-one word unigram, log10. ``score``: log10 of the
-    document's marginal probability under the lattice model, where ``prior`` is
+    ``base_score``: add-one word unigram, log10. ``lattice_score``: log10 of the
+    document's marginal probability over all segmentations. ``score``: the same
+    over all token distributions around the lattice's besides, where ``prior`` is
     how many tokens the corpus weighs against the document's own. All counts
-    cover all training documents.
+    cover all training documents. Words of any length are spelled by all pieces;
+    the time for one grows in proportion to its bytes.
 
     Null or empty text: the end alone. A null id is learned from. Rows that
     share an id are all scored, and all learned from if one is. No training
@@ -384,6 +439,7 @@ def lattice_scores(docs: DataFrame, folds: int = 7, fold: int = 2, tokenizer: st
             "train_tokens": pa.array(np.full(len(ids), total), pa.int64()),
             "base_score": pa.array(np.bincount(doc, base[back], len(ids)) + end_base),
             "score": pa.array(urn(doc, back, value, many + 1, prior) + math.log10(prior) + end_score),
+            "lattice_score": pa.array(np.bincount(doc, value[back], len(ids)) + end_score),
         })
 
     from pyspark.sql.pandas.types import to_arrow_schema
