@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import bucket_count, documents, nullable_ids, ranges, rows, scratch, text_columns
+from tollgate.llm.common import bucket_count, documents, materialize, nullable_ids, ranges, rows, scratch, text_columns
 from tollgate.llm.tokens import default_path, encoder
 
 BLOCK = 4096
@@ -157,11 +157,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         fs.move(own, final)
         yield rows(pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]), [part], [final.rsplit("/", 1)[-1]], [len(writer.ids)], [writer.tokens])
 
-    spark = docs.sparkSession
+    path = _whole_path(docs.sparkSession, path)
+    return materialize(ordered.mapInArrow(save, MANIFEST), "manifest")
+
+
+def _whole_path(spark, path: str) -> str:
+    """The folder's address with its file system, which is made if it isn't there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
-    manifest = ordered.mapInArrow(save, MANIFEST).collect()
-    return spark.createDataFrame(manifest, MANIFEST)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    whole = fs.makeQualified(folder).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -171,7 +177,11 @@ def read_digests(manifest: DataFrame, path: str) -> DataFrame:
     """Per document of the files: its first token over all files, its number of
     tokens and the checksum of its ids, from the files' bytes."""
     spark = manifest.sparkSession
-    before = manifest.select(F.col("path").alias("name"), (F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).alias("before"))
+    # Tokens before each file: within runs of parts, and before a run; runs are few.
+    own = manifest.withColumn("run", F.floor(F.col("part") / 1024))
+    runs = own.groupBy("run").agg(F.sum("n_tokens").alias("n")).select("run", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = own.select("run", F.col("path").alias("name"), within.alias("within")).join(runs, "run").select("name", (F.col("within") + F.col("earlier")).alias("before"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
@@ -196,6 +206,4 @@ def token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None
     """Write ``docs`` as packed token files (in a folder of its own in the
     shared one, unless given) and return what the files hold per document."""
     path = path or f"{scratch(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    if "://" not in path and not path.startswith("file:"):
-        path = f"file://{path}"
     return read_digests(write_tokens(docs, path, tokenizer, end_id), path)

@@ -41,6 +41,8 @@ COUNTED = np.uint64(1 << 59)
 CHUNK, WAITING, SORTED = 1 << 20, 24 << 20, 2 << 20
 #: One in so many of a chunk's single grams is counted, as so many.
 THINNED = 16
+#: Most grams that are known as frequent on every worker, eight bytes each.
+FREQUENT = 1_000_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -97,10 +99,10 @@ class _Chunk:
 
 
 def frequent_grams(docs: DataFrame, gram: int, least: int) -> np.ndarray:
-    """Hashes of counted grams with ``least`` places or more, over all documents, at
-    most a million: ``least`` is raised for a corpus that could have more. Single
-    ones of a chunk are thinned by a hash, so a count is an estimate; it settles
-    how a suffix is dealt and never what is found."""
+    """Hashes of counted grams with ``least`` places or more, over all documents, the
+    FREQUENT most frequent at most. Single ones of a chunk are thinned by a hash,
+    so a count is an estimate. It settles how a suffix is dealt and never what is
+    found."""
 
     def count(batches):
         for batch in batches:
@@ -113,12 +115,8 @@ def frequent_grams(docs: DataFrame, gram: int, least: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(found[n > 0].view(np.int64)), pa.array(n[n > 0], pa.int64())], ["gram", "n"])
 
     sums = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    total = sums.agg(F.count(F.lit(1)), F.sum("n")).first()
-    if not total[0]:
-        return np.zeros(0, np.uint64)
-    if total[0] > 1_000_000:
-        sums = sums.where(F.col("n") >= total[1] // 1_000_000)
-    return np.sort(np.array([r.gram for r in sums.select("gram").toLocalIterator()], np.int64).view(np.uint64))
+    top = sums.orderBy(F.col("n").desc(), "gram").limit(FREQUENT).select("gram").toLocalIterator()
+    return np.sort(np.array([r.gram for r in top], np.int64).view(np.uint64))
 
 
 def _deal_hits(doc, tag, start, count, n: int, out: list) -> None:

@@ -52,16 +52,14 @@ def normalised(data: np.ndarray) -> np.ndarray:
 def spans(data: np.ndarray, offsets: np.ndarray):
     """Words without punctuation at their edges: starts, sizes, first word of each document."""
     starts, ends, first = word_spans(data, offsets, _SEPARATOR)
-    for _ in range(8):
-        trim = np.flatnonzero((ends > starts) & _EDGE[data[np.minimum(starts, max(len(data) - 1, 0))]]) if len(data) else []
-        if not len(trim):
-            break
-        starts[trim] += 1
-    for _ in range(8):
-        trim = np.flatnonzero((ends > starts) & _EDGE[data[ends - 1]]) if len(data) else []
-        if not len(trim):
-            break
-        ends[trim] -= 1
+    if len(starts):
+        # The next byte that stays, from each on, and the last one up to each.
+        place = np.arange(len(data))
+        stays = ~_EDGE[data]
+        after = np.minimum.accumulate(np.where(stays, place, len(data))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(stays, place, -1))
+        starts = np.minimum(after[starts], ends)
+        ends = np.maximum(before[ends - 1] + 1, starts)
     return starts, ends - starts, first
 
 
