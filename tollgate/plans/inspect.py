@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,24 +44,29 @@ def with_part_findings(parts: DataFrame, registry: Registry, normalise: bool = T
     return own.withColumns({"evidence": evidence, "found": F.transform(registry.detect(F.col("n_text"), part), remapped)}).drop("n_made", "n_text")
 
 
-def detect(hops: DataFrame, registry: Registry | None = None, normalise: bool = True) -> DataFrame:
-    """Hops with their findings: all normaliser evidence first, then by detector.
+def findings_by_hop(hops: DataFrame, registry: Registry | None = None, normalise: bool = True, carry: Sequence[str] = ()) -> DataFrame:
+    """Per hop its findings (all normaliser evidence first, then by detector) and
+    the columns ``carry``, which are the same in all its parts.
 
-    Parts are exploded, inspected row by row and put together again by hop id.
-    The text doesn't take part in that shuffle; only findings and hop keys do.
+    Parts are exploded, inspected row by row and put together again by hop id. A
+    text is dropped before that shuffle, and the table is read once.
     """
     registry = registry or standard()
-    parts = hops.select("hop_id", F.posexplode("parts").alias("part", "p")).select("hop_id", "part", F.coalesce("p.text", F.lit("")).alias("text"))
-    found = with_part_findings(parts, registry, normalise).select("hop_id", "part", "evidence", "found")
+    parts = hops.select("hop_id", *carry, F.posexplode_outer("parts").alias("part", "p")).select("hop_id", *carry, "part", F.coalesce("p.text", F.lit("")).alias("text"))
+    found = with_part_findings(parts, registry, normalise).select("hop_id", *carry, "part", "evidence", "found")
     order = F.create_map(*[x for i, d in enumerate(registry.detectors) for x in (F.lit(d.name), F.lit(i))]) if registry.detectors else F.create_map(F.lit(""), F.lit(0))
-    some = found.where((F.size("evidence") > 0) | (F.size("found") > 0))
-    together = some.groupBy("hop_id").agg(F.sort_array(F.collect_list(F.struct("part", "evidence", "found"))).alias("by_part"))
+    some = F.when((F.size("evidence") > 0) | (F.size("found") > 0), F.struct("part", "evidence", "found"))
+    together = found.groupBy("hop_id").agg(*(F.first(c).alias(c) for c in carry), F.sort_array(F.collect_list(some)).alias("by_part"))
     evidence = F.flatten(F.transform("by_part", lambda x: x["evidence"]))
     detected = F.flatten(F.transform("by_part", lambda x: x["found"]))
     keyed = F.transform(detected, lambda f, i: F.struct(F.element_at(order, f["detector"]).alias("o"), i.alias("i"), f.alias("f")))
     sorted_ = F.transform(F.array_sort(keyed), lambda x: x["f"])
-    merged = together.select("hop_id", F.concat(evidence, sorted_).alias("findings"))
-    return hops.join(merged, "hop_id", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
+    return together.select("hop_id", *carry, F.concat(evidence, sorted_).alias("findings"))
+
+
+def detect(hops: DataFrame, registry: Registry | None = None, normalise: bool = True) -> DataFrame:
+    """Hops, whole, with their findings."""
+    return hops.join(findings_by_hop(hops, registry, normalise), "hop_id")
 
 
 def valid(hops: DataFrame) -> DataFrame:
@@ -75,12 +82,23 @@ def verdicts_without_state(detected: DataFrame, policy: Policy) -> DataFrame:
     return detected.withColumn("decided", out).select("*", "decided.*").drop("decided").withColumn("policy_version", F.lit(policy.version))
 
 
-def inspect(hops: DataFrame, policy: Policy, registry: Registry | None = None, ttl: float = 3600.0, normalise: bool = True) -> DataFrame:
-    """Verdicts of a batch of hops, with session state replayed in their order."""
-    detected = detect(valid(hops), registry, normalise).withColumn("content_hash", content_hash(F.col("parts")))
-    decided = replay(detected, policy, ttl).drop("session")
-    kept = detected.drop("findings")
-    return kept.join(decided, "hop_id").withColumn("policy_version", F.lit(policy.version))
+#: What a verdict says of its hop besides the findings.
+ABOUT = ("surface", "source", "caller", "content_hash", "error")
+
+
+def inspect(hops: DataFrame, policy: Policy, registry: Registry | None = None, ttl: float = 3600.0, normalise: bool = True, parts: bool = True) -> DataFrame:
+    """Verdicts of a batch of hops, with session state replayed in their order.
+
+    Without ``parts`` a hop is read once, and of its texts only findings and a
+    hash are ever shuffled; with them all of its columns are joined to its verdict.
+    """
+    own = valid(hops).withColumn("content_hash", content_hash(F.col("parts")))
+    found = findings_by_hop(own, registry, normalise, [c for c in own.columns if c not in ("hop_id", "parts")])
+    if parts:
+        decided = own.join(replay(found, policy, ttl).drop("session"), "hop_id")
+    else:
+        decided = replay(found, policy, ttl, keep=[c for c in ABOUT if c in own.columns])
+    return decided.withColumn("policy_version", F.lit(policy.version))
 
 
 def redacted_parts(verdicts: DataFrame) -> DataFrame:

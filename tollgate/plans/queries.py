@@ -98,8 +98,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where a small table has fewer splits than there are: detection is the work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf: str, seeded: bool = True) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return docs.select("doc_id", F.expr(SEEDED if seeded else "coalesce(text, '')").alias("text"), "source")
 
 
@@ -553,7 +559,7 @@ def audit_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def conversation_hops(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations as hops, with seeded payloads by conversation and turn."""
-    c = table(spark, sf, "conversations")
+    c = spread(table(spark, sf, "conversations"))
     seed = "coalesce(text, '') || " + SEED.replace("doc_id", "(conv_id + turn)")
     part = F.struct(F.col("role").alias("role"), F.expr(seed).alias("text"), F.lit("").alias("trust"))
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("hop_id"), F.timestamp_micros(F.col("turn") * 1_000_000).cast("timestamp_ntz").alias("ts"), F.col("turn").cast("int").alias("seq"), F.when(F.col("role") == "assistant", "output").otherwise("input").alias("surface"), F.col("conv_id").cast("string").alias("session"), F.lit("").alias("caller"), F.lit("chat").alias("source"), F.array(part).alias("parts"))
@@ -562,7 +568,7 @@ def conversation_hops(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def full_inspection(spark: SparkSession, sf: str) -> DataFrame:
     """Every operator in one plan: normalise, detect, remap, replay sessions, decide."""
-    out = inspect(conversation_hops(spark, sf), POLICY_OF, D.standard(TERMS, (), ALLOWED))
+    out = inspect(conversation_hops(spark, sf), POLICY_OF, D.standard(TERMS, (), ALLOWED), parts=False)
     return out.select("hop_id", "surface", "action", "taint_session", F.size("findings").alias("n_findings"), F.size("redactions").alias("n_redactions"), "content_hash")
 
 

@@ -9,7 +9,7 @@ session is a hop's identity, content hash and findings.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,10 +81,10 @@ def apply(policy: Policy, state: State, hops: Iterable[dict], ttl: float) -> Ite
 SLIM = ("hop_id", "session", "ts_us", "seq", "surface", "source", "content_hash", "findings", "error")
 
 
-def slim(hops: DataFrame) -> DataFrame:
+def slim(hops: DataFrame, *more: str) -> DataFrame:
     """Only what the fold needs: hop_id, session, ts, seq, surface, source, content_hash, findings, error."""
     error = F.col("error") if "error" in hops.columns else F.lit(None).cast("string")
-    return hops.select("hop_id", F.coalesce("session", F.lit("")).alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "seq", "surface", F.coalesce("source", F.lit("")).alias("source"), "content_hash", "findings", error.alias("error"))
+    return hops.select("hop_id", F.coalesce("session", F.lit("")).alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "seq", "surface", F.coalesce("source", F.lit("")).alias("source"), "content_hash", "findings", error.alias("error"), *more)
 
 
 def _records(frame: pd.DataFrame) -> list[dict]:
@@ -94,18 +94,20 @@ def _records(frame: pd.DataFrame) -> list[dict]:
     return rows
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in ("hop_id", "session", "action", "findings", "redactions", "taint_session", "tainted_before", "pin_changed", "tool_blocked")])
+def _frame(rows: list[dict], keep: Sequence[str] = ()) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["hop_id", "session", "action", "findings", "redactions", "taint_session", "tainted_before", "pin_changed", "tool_blocked", *keep])
 
 
-def replay(hops: DataFrame, policy: Policy, ttl: float = 3600.0, salt: int = 64) -> DataFrame:
+def replay(hops: DataFrame, policy: Policy, ttl: float = 3600.0, salt: int = 64, keep: Sequence[str] = ()) -> DataFrame:
     """Decide a batch of hops, each session in the order of (ts, seq, hop_id).
+    ``keep``: string columns that are handed on.
 
     Hops without a session have no state: they are dealt over ``salt`` groups, so
     that they don't meet in one task. A session is read in sorted batches of
     rows and its state is small, however long it is.
     """
-    own = slim(hops)
+    more = [c for c in keep if c not in SLIM]
+    own = slim(hops, *more)
     key = F.when(F.col("session") == "", F.pmod(F.xxhash64("hop_id"), F.lit(salt))).otherwise(F.lit(-1))
     dealt = own.withColumn("salt", key).repartition("session", "salt").sortWithinPartitions("session", "salt", "ts_us", "seq", "hop_id")
 
@@ -117,10 +119,10 @@ def replay(hops: DataFrame, policy: Policy, ttl: float = 3600.0, salt: int = 64)
                 h["findings"] = [dict(f) for f in (h["findings"] if h["findings"] is not None else [])]
                 if h["session"] != current:
                     current, state = h["session"], State()
-                out += apply(policy, state, [h], ttl)
-            yield _frame(out)
+                out += ({**{c: h[c] for c in keep}, **d} for d in apply(policy, state, [h], ttl))
+            yield _frame(out, keep)
 
-    return dealt.mapInPandas(fold, DECIDED)
+    return dealt.mapInPandas(fold, ", ".join([DECIDED, *(f"{c} string" for c in keep)]))
 
 
 def stream(hops: DataFrame, policy: Policy, ttl: float = 3600.0) -> DataFrame:
