@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ def may_match(text: Column, pattern: str) -> Column:
     if simple:
         ok = text.rlike(simple) & ok
     if words:
+        if (name := _NAME.fullmatch(str(text))) and words not in (("@",), ("![",)):
+            folded = f"translate(lower(`{name[1]}`), '\u017f\u212a', 'sk')" if any(w.isalpha() for w in words) else f"lower(`{name[1]}`)"
+            return F.expr(f"element_at(transform(array({folded}), t -> {' OR '.join(f'contains(t, {_quoted(w)})' for w in words)}), 1)") & ok
         # Case folding knows two more letters than lower-casing: the long s and the Kelvin sign.
         plain = any(w.isalpha() for w in words)
         folded = F.translate(F.lower(text), "\u017f\u212a", "sk") if plain else F.lower(text)
@@ -38,6 +43,22 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
+#: A column's plain name.
+_NAME = re.compile(r"Column<'([A-Za-z_][A-Za-z0-9_]*)'>")
+
+_FOUND = f"""aggregate(
+  element_at(transform(array(regexp_extract_all(%(text)s, %(pattern)s, 0)), hits ->
+    zip_with(slice(split(%(text)s, %(pattern)s, -1), 1, size(hits)), hits, (g, h) -> named_struct('gap', g, 'hit', h))), 1),
+  named_struct('at', 0, 'out', cast(array() AS array<{HIT}>)),
+  (acc, pair) -> named_struct('at', acc.at + octet_length(pair.gap) + octet_length(pair.hit), 'out', concat(acc.out, array(named_struct(
+    'start', acc.at + octet_length(pair.gap), 'end', acc.at + octet_length(pair.gap) + octet_length(pair.hit), 'text', pair.hit)))),
+  acc -> acc.out)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches as (start, end, text), offsets in bytes.
 
@@ -45,7 +66,19 @@ def find_spans(text: Column, pattern: str) -> Column:
     running sums of byte lengths. Text without a match costs a scan for what the
     pattern needs. The pattern must not match the empty string. Null text has no
     matches.
+
+    The expression is given to Spark as SQL, in one call: built column by column
+    it would take longer than many a table takes to search.
     """
+    name = _NAME.fullmatch(str(text))
+    if not name:
+        return _spans_of(text, pattern)
+    found = F.expr(_FOUND % {"text": f"`{name[1]}`", "pattern": _quoted(java(pattern))})
+    return F.when(may_match(text, pattern), found).otherwise(F.array().cast(f"array<{HIT}>"))
+
+
+def _spans_of(text: Column, pattern: str) -> Column:
+    """The same for any expression."""
     p = java(pattern)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out"))
 

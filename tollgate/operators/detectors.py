@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -301,8 +302,16 @@ class Registry:
         self.detectors.append(detector)
 
     def detect(self, text: Column, part: Column) -> Column:
-        found = [d.detect(text, part) for d in self.detectors]
-        return F.concat(*found) if len(found) > 1 else found[0] if found else none()
+        """All findings. The expression is kept: building it takes seconds, and it is
+        the same for all tables whose columns have these names."""
+        key = (id(SparkContext._jvm), str(text), str(part), *((type(d), repr(vars(d))) for d in self.detectors))
+        if key not in _built:
+            found = [d.detect(text, part) for d in self.detectors]
+            _built[key] = F.concat(*found) if len(found) > 1 else found[0] if found else none()
+        return _built[key]
+
+
+_built: dict[tuple, Column] = {}
 
 
 def standard(terms: Sequence[str] = (), regexes: Sequence[str] = (), allowed: Sequence[str] | None = None) -> Registry:
