@@ -16,7 +16,7 @@ from tollgate.functions import normalize as N
 from tollgate.functions import patterns as P
 from tollgate.functions.spans import find_spans
 from tollgate.operators import detectors as D
-from tollgate.operators.policy import parse_policy
+from tollgate.operators.policy import parse_policy, rules_table
 from tollgate.plans import evals
 from tollgate.plans.inspect import inspect, redacted_parts, with_part_findings
 from tollgate.plans.queries import _ENTROPY, _TERMS, _URLS, _HOST, _QUERY, _VALUES, ALLOWED, POLICY_OF, SEEDS, SQL_PII_KEPT, TERMS, documents, lit, query, sql_spans, spread, table
@@ -222,6 +222,28 @@ def verdict_bodies(spark: SparkSession, sf: str) -> DataFrame:
     return body.select("hop_id", at("$.action", "absent").alias("action"), at("$.taint_session", "absent").alias("taint_session"), at("$.findings", -1).alias("n_findings"), at("$.policy_version", "absent").alias("policy_version"), at("$.redactions", -1).alias("n_redactions"))
 
 
+@query(f"""WITH s AS ({SQL_STATE}) SELECT 0 AS rule_id, count(*) AS n FROM s WHERE kind IN (0, 3) AND surface <> 'nowhere'
+UNION ALL SELECT 1, count(*) FROM s WHERE kind IN (1, 5) AND surface IN ('output', 'tool_result') UNION ALL SELECT 2, count(*) FROM s WHERE kind = 2 AND surface = 'tool_result'
+UNION ALL SELECT 3, count(*) FROM s WHERE tainted AND surface = 'tool_call' UNION ALL SELECT 4, count(*) FROM s WHERE pin_changed AND surface = 'tool_definition'""")
+def rule_matches_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Hops per rule of the whole policy, on what the whole path found."""
+    hit = F.expr("""(size(r.surface) = 0 or array_contains(r.surface, h.surface)) and (r.session_tainted is null or r.session_tainted = h.tainted_before) and (r.pin_changed is null or r.pin_changed = h.pin_changed)
+      and (size(r.detector) = 0 or exists(h.findings, f -> array_contains(r.detector, f.detector) and (size(r.type_in) = 0 or array_contains(r.type_in, f.type)) and (r.score_gte is null or f.score >= r.score_gte)))""")
+    return _inspected(spark, sf).alias("h").join(F.broadcast(rules_table(spark, POLICY_OF)).alias("r"), hit).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g')"
+KEYWORDS = ("anan", "ana", "tion", "ion", "one")
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, CAST(i AS INTEGER) AS start_byte, CAST(i + {len(w)} AS INTEGER) AS end_byte, '{w}' AS hit FROM (SELECT doc_id, t, unnest(range(0, strlen(t))) AS i FROM (SELECT doc_id, lower({_ASCII}) AS t FROM documents) d) p WHERE substr(t, CAST(i AS INTEGER) + 1, {len(w)}) = '{w}'" for w in KEYWORDS))
+def keyword_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """All occurrences of terms that overlap themselves and each other."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7F]", "?").alias("text")))
+    hits = docs.select("doc_id", F.explode(D.keyword_spans(KEYWORDS)(F.col("text"))).alias("s"))
+    return hits.select("doc_id", F.col("s.start").alias("start_byte"), F.col("s.end").alias("end_byte"), F.col("s.text").alias("hit"))
+
+
 # Payloads.
 
 
@@ -279,6 +301,12 @@ def tools_written_back(spark: SparkSession, sf: str) -> DataFrame:
     return sent.select(F.col("message_id").alias("event_id"), "outcome", F.size(tools).alias("n_tools"), F.element_at(tools, -1)["description"].alias("last_text"))
 
 
+@query("SELECT doc_id, CASE WHEN strlen(coalesce(text, '')) > 2000 THEN 'message too large' ELSE 'none' END AS error, CASE WHEN strlen(coalesce(text, '')) > 2000 THEN -1 ELSE strlen(coalesce(text, '')) END AS n_bytes FROM documents")
+def bodies_within_size(spark: SparkSession, sf: str) -> DataFrame:
+    messages = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    return gateway.within_size(messages, 2000).select("doc_id", F.coalesce("error", F.lit("none")).alias("error"), F.coalesce(F.octet_length("body"), F.lit(-1)).cast("long").alias("n_bytes"))
+
+
 _TOOL_POLICY = parse_policy("rules:\n  - surface: tool_call\n    when: { tool: tool_1 }\n    action: flag\n  - surface: [tool_call, tool_result]\n    when: { tool: tool_2 }\n    action: block\n")
 
 

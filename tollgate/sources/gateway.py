@@ -276,6 +276,16 @@ def _exploded(made: DataFrame) -> DataFrame:
     )
 
 
+#: Most bytes of a message, as a receiver bounds it.
+LARGEST = 32 << 20
+
+
+def within_size(messages: DataFrame, limit: int = LARGEST) -> DataFrame:
+    """Messages with ``error``: those over the limit are refused whole, never cut."""
+    over = F.octet_length("body") > limit
+    return messages.withColumns({"error": F.when(over, "message too large"), "body": F.when(over, F.lit(None).cast("string")).otherwise(F.col("body"))})
+
+
 def errors(messages: DataFrame) -> DataFrame:
     """Tool messages whose body is no JSON: message_id, error (invalid argument)."""
     bad = F.col("body").isNull() | F.call_function("try_parse_json", F.col("body")).isNull()
