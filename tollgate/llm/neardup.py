@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import NULL_ID, compress, decompress, documents, materialize, mix, ranges, text_columns
+from tollgate.llm.common import NULL_ID, compress, decompress, documents, materialize, mix, ranges, remove, text_columns
 from tollgate.llm.graph import components
 from tollgate.llm.symbols import hash_words, word_spans
 
@@ -287,6 +287,8 @@ def duplicate_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, ba
     unsettled = labelled.join(open_bands, "band").join(bodies.withColumnRenamed("node", "doc"), "doc")
     more = materialize(_across(unsettled, size, threshold, block), "links")
     labels = materialize(components(linked.unionByName(more)), "labels")
+    for done in (firsts, members, bodies, linked, more):
+        remove(done)
     known = heads.join(labels, "node", "left").select("key_a", "key_b", F.coalesce("label", "node").alias("label"))
     whole = signs.select("doc_id", "text_a", "text_b", "row", "key_a", "key_b", F.col("bands").isNotNull().alias("worded"))
     classed = whole.join(known.withColumn("worded", F.lit(True)), ["key_a", "key_b", "worded"], "left")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm.automaton import Automaton
-from tollgate.llm.common import NULL_ID, documents, materialize, ranges, text_columns
+from tollgate.llm.common import NULL_ID, documents, materialize, ranges, remove, text_columns
 from tollgate.llm.symbols import word_spans
 
 # General insults that the lexicon starts from, words that report
@@ -304,6 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2, sam
     # Words near hits, by label; what a document's label says is what they speak for.
     context = {w: 0.5 * (math.log((n1 + 1) / (holders[1] + 2)) - math.log((n0 + 1) / (holders[0] + 2))) for w, (n0, n1) in around.items() if n0 + n1 >= 5} if min(holders) else {}
     x, y = _feature_rows(train, matcher, benign, context)
+    remove(train)
     if len(y) and 0 < y.sum() < len(y):
         w = fit(x, y)
     else:
