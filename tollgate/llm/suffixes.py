@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.llm.blocksort import Block
-from tollgate.llm.common import BLOCK, binary_column, block_batch, block_table, bucket_count, bucket_of, deal, decode, documents, encode, mix, nullable_ids, ranges, text_columns
+from tollgate.llm.common import BLOCK, binary_column, block_batch, block_table, bucket_count, bucket_of, deal, decode, documents, encode, materialize, mix, nullable_ids, ranges, text_columns
 from tollgate.llm.cover import _from_six, _groups, _key_bucket, _six, difference_cover
 from tollgate.llm.symbols import Bytes, Windows
 
@@ -345,7 +345,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400, q: int = 5, frequent: int =
         _settle_pieces(by[PIECES], length, gram, q, n, out)
         return block_table(out)
 
-    found = _emit(docs, length, gram, hot, n).groupBy("bucket").applyInArrow(settle, BLOCK)
+    # Written, so that the pieces' shuffle is gone before the texts are dealt.
+    found = materialize(_emit(docs, length, gram, hot, n).groupBy("bucket").applyInArrow(settle, BLOCK), "hits")
 
     def finish(texts: pa.Table, marks: pa.Table) -> pa.Table:
         where: dict[tuple[int, int], list[tuple[int, int]]] = {}
