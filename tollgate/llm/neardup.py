@@ -292,7 +292,8 @@ def duplicate_classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, ba
     known = heads.join(labels, "node", "left").select("key_a", "key_b", F.coalesce("label", "node").alias("label"))
     whole = signs.select("doc_id", "text_a", "text_b", "row", "key_a", "key_b", F.col("bands").isNotNull().alias("worded"))
     classed = whole.join(known.withColumn("worded", F.lit(True)), ["key_a", "key_b", "worded"], "left")
-    sizes = classed.where("worded").groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), least.alias("first"))
+    # Written, so that both sides of the join are plain shuffles, which can be split where a class is large.
+    sizes = materialize(classed.where("worded").groupBy("label").agg(F.count(F.lit(1)).alias("class_size"), least.alias("first")), "sizes")
     own = classed.join(sizes, "label", "left")
     class_id = F.coalesce("first.doc_id", "doc_id")
     return own.select(
