@@ -19,7 +19,7 @@ from tollgate.operators import detectors as D
 from tollgate.operators.policy import parse_policy, rules_table
 from tollgate.plans import evals
 from tollgate.plans.inspect import inspect, redacted_parts, with_part_findings
-from tollgate.plans.queries import _ENTROPY, _TERMS, _URLS, _HOST, _QUERY, _VALUES, ALLOWED, POLICY_OF, SEEDS, SQL_PII_KEPT, TERMS, documents, lit, query, sql_spans, spread, table
+from tollgate.plans.queries import _ENTROPY, _TERMS, _URLS, _HOST, _QUERY, _VALUES, ALLOWED, ORACLE_SQL, POLICY_OF, SEEDS, SQL_PII_KEPT, TERMS, documents, lit, query, sql_spans, spread, table
 from tollgate.sources import gateway
 
 WIDE = "".join(chr(0xFF41 + i) for i in range(26))
@@ -125,6 +125,9 @@ _TOKENS = _rows("secrets", "high_entropy", 0.7, sql_spans(SEEDS, "doc_id", P.SEC
 SQL_SECRETS = f"SELECT * FROM ({_PROVIDERS}) k UNION ALL SELECT t.* FROM ({_TOKENS}) t WHERE NOT EXISTS (SELECT 1 FROM ({_PROVIDERS}) k WHERE k.doc_id = t.doc_id AND k.start_byte < t.end_byte AND t.start_byte < k.end_byte)"
 
 
+ORACLE_SQL["secrets_findings"] = f"SELECT doc_id, type, start_byte, end_byte, score FROM ({SQL_SECRETS}) s"
+
+
 @query(SQL_SECRETS)
 def secrets_found(spark: SparkSession, sf: str) -> DataFrame:
     return _detected(documents(spark, sf).select("doc_id", D.Secrets().detect(F.col("text"), F.lit(0)).alias("found")))
