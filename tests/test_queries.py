@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tollgate.plans import boundary, shipped  # noqa: F401  register their queries
 from tollgate.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
