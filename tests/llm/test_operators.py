@@ -238,6 +238,37 @@ def test_automaton():
         assert got.get(i) == (0 if x.startswith(b"lowei") else min(near, default=None))
 
 
+def test_automaton_of_wide_edits():
+    from tollgate.llm.automaton import Automaton
+
+    terms, alphabet = ["idiot", "clown", "scum", "worthless"], "abidotclwnsuzë€1😀"
+
+    def edits(t):
+        yield t, 0
+        if len(t.encode()) < 5:
+            return
+        for k in range(len(t) + 1):
+            if k:
+                yield from ((t[:k] + c + t[k:], 1) for c in alphabet)
+            if k < len(t):
+                yield t[:k] + t[k + 1 :], 1
+                yield from ((t[:k] + c + t[k + 1 :], 1) for c in alphabet if k or c == "1")
+            if k + 1 < len(t):
+                yield t[:k] + t[k + 1] + t[k] + t[k + 2 :], 1
+
+    want = {}
+    for t in terms:
+        for x, e in edits(t):
+            want[x] = min(e, want.get(x, 9))
+    rng = random.Random(3)
+    others = ["".join(rng.choice(alphabet) for _ in range(5)) for _ in range(500)] + [x[:k] + c + x[k + 1 :] for x in list(want)[::3] for k in range(len(x)) for c in "tz€"]
+    plain = [x for x in others if x not in want]
+    words = [x.encode() for x in [*want, *plain]]
+    size = np.array([len(w) for w in words])
+    w, _, e = Automaton([t.encode() for t in terms], [], wide=True).match(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+    assert dict(zip(w.tolist(), e.tolist(), strict=True)) == dict(enumerate(want.values()))
+
+
 def test_toxicity(spark):
     from tollgate.llm.toxicity import toxicity, without_toxic
 

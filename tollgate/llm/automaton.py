@@ -15,15 +15,26 @@ class Automaton:
     exactly, and the first byte always does. ``stems``: bytes that any ending
     may follow. State 0 is dead; ``term``, ``errors`` describe a state that
     accepts (term -1: none; stems are numbered after the terms).
+
+    ``wide``: an edit may also swap two neighbours, put one character of several
+    bytes in or in place of a term's byte, and leave the first byte out or put a digit
+    in its place.
     """
 
-    def __init__(self, terms: list[bytes], stems: list[bytes], fuzzy_from: int = 5):
+    def __init__(self, terms: list[bytes], stems: list[bytes], fuzzy_from: int = 5, wide: bool = False):
         self.terms, self.stems = terms, stems
         alphabet = sorted({b for t in (*terms, *stems) for b in t})
         self.classes = np.zeros(256, np.int64)
         for k, b in enumerate(alphabet):
             self.classes[b] = k + 1
-        width = len(alphabet) + 1
+        digit, later = len(alphabet) + 1, len(alphabet) + 2
+        for b in (*range(0x30, 0x3A), *range(0x80, 0xC0)):
+            if wide and not self.classes[b]:
+                self.classes[b] = digit if b < 0x80 else later
+        width = len(alphabet) + (3 if wide else 1)
+        #: Classes of bytes that only go on with a character.
+        inside = {int(c) for c in self.classes[0x80:0xC0]} if wide else set()
+        digits = {int(c) for c in self.classes[0x30:0x3A]} if wide else set()
         children: list[dict[int, int]] = []
         word_at: dict[int, int] = {}
         stem_at: dict[int, int] = {}
@@ -59,11 +70,20 @@ class Automaton:
             for node, e in states:
                 least[node] = min(e, least.get(node, 9))
             for node, e in list(least.items()):
-                if e == 0 and node in in_fuzzy and node != fuzzy:
+                if e == 0 and node in in_fuzzy and (wide or node != fuzzy):
                     for child in children[node].values():
                         least.setdefault(child, 1)
             return frozenset(least.items())
 
+        swapped: dict[tuple[int, int, int], int] = {}
+
+        def swap(before: int, c: int, after: int) -> int:
+            """A node that only ``before`` leads on from, to ``after``; ``c`` came first."""
+            if (before, c, after) not in swapped:
+                swapped[before, c, after] = trie()
+                children[swapped[before, c, after]][before] = after
+            return swapped[before, c, after]
+
         start = close({(exact, 0), (fuzzy, 0), (prefix, 0)})
         number, rows, order = {frozenset(): 0, start: 1}, [np.zeros(width, np.int32)], deque([start])
         accepting: list[tuple[int, int, bool]] = [(-1, 0, False)]
@@ -83,6 +103,12 @@ class Automaton:
                         if e == 0 and node in in_fuzzy and node != fuzzy:
                             to.add((node, 1))
                             to.update((x, 1) for x in children[node].values() if x != child)
+                        if wide and e == 0 and node in in_fuzzy:
+                            if node == fuzzy and c in digits:
+                                to.update((x, 1) for x in children[node].values() if x != child)
+                            to.update((swap(b, c, children[m][c]), 1) for b, m in children[node].items() if b != c and c in children[m])
+                        if wide and e == 1 and node in in_fuzzy and c in inside:
+                            to.add((node, 1))
                     target = close(to)
                     if target not in number:
                         number[target] = len(number)
@@ -94,7 +120,7 @@ class Automaton:
         self.term = np.array([a[0] for a in accepting], np.int32)
         self.errors = np.array([a[1] for a in accepting], np.int8)
         self.absorbs = np.array([a[2] for a in accepting], bool)
-        self.longest = max(map(len, (*terms, *stems)), default=0) + 1
+        self.longest = max(map(len, (*terms, *stems)), default=0) + (4 if wide else 1)
 
     def match(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, term, errors) of every word that is accepted."""

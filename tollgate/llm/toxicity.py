@@ -171,7 +171,7 @@ class Matcher:
     def __init__(self, lexicon: dict[bytes, float]):
         terms = [t for t in lexicon if not t.endswith(b"*")]
         stems = [t[:-1] for t in lexicon if t.endswith(b"*")]
-        self.automaton = Automaton(terms, stems)
+        self.automaton = Automaton(terms, stems, wide=True)
         self.weight = [lexicon[t] for t in terms] + [lexicon[t + b"*"] for t in stems]
         self.stem_from = len(terms)
 
