@@ -212,7 +212,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, shar
 
     All rows are indexed, dealt over shards by hash; every shard's graph is
     searched by every query, in blocks of ``query_block`` queries. Scores are
-    exact, in double precision.
+    exact, in double precision, the products added in the order of the components.
 
     Rows with a null id or vector, or with a vector that is zero, empty or holds
     null or non-finite components take no part, as candidates or queries. Rows
@@ -250,7 +250,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, shar
                 near, _ = beam_search(x, norm, graph, entry, np.concatenate([own, np.zeros((len(own), 1))], axis=1).astype(np.float32), min(max(width, k + 1), size))
                 for i in range(len(own)):
                     found = near[i][near[i] >= 0]
-                    score = vectors[found] @ own[i]
+                    # Summed from the first component to the last, so that a pair's score depends
+                    # on neither its place in the shard nor the processor's kernels.
+                    score = np.cumsum(vectors[found] * own[i], axis=1)[:, -1]
                     if len(found) > k + 1:
                         # All that tie with the last one stay, for the ids to decide.
                         keep = score >= np.partition(score, -(k + 1))[-(k + 1)]
