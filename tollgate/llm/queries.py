@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tollgate.llm.oracles import ORACLE_SQL  # noqa: F401  the driver reads it here
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,6 +74,3 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op3_html_extraction, op4_toxicity, op5_benchmark_decontamination, op6_nearest_neighbours, op7_best_fit_packing, op8_suffix_array_dedup, op9_lattice_likelihood, op10_minhash_near_dedup)}
-
-#: None of these is expressible in plain SQL at whole-table scale; see tests/llm for the brute-force checks.
-ORACLE_SQL: dict[str, str] = {}
