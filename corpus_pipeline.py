@@ -26,7 +26,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go.
+
+    Null and empty texts are scored too, as texts without words. Rows are judged
+    one by one: those that share an id, or have none, stay or go by their own
+    texts, and copies stay or go together. An empty table gives no rows.
+    """
     tollgate.ship(spark)
     return without_toxic(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -36,7 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents are told apart by id and text: those that share an id, or have
     none, are dropped only for a text that stays. Exact copies of a row with its
-    id are one document, texts without words too.
+    id are one document, texts without words too. Null ids sort below all
+    others. An empty table gives no rows.
     """
     tollgate.ship(spark)
     own = numbered(docs.select(*COLUMNS))
@@ -46,7 +52,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur more than once are cut from every text."""
+    """Strings of 400 bytes that occur more than once are cut from every text.
+
+    Every row stays, with what is left of its text, also if that is empty;
+    n_chars is counted anew. A null text becomes an empty one. Rows are told
+    apart by their place, so those that share an id, or have none, are documents
+    of their own. An empty table gives no rows.
+    """
     tollgate.ship(spark)
     own = _rows(docs)
     cut = suffix_dedup(own, id_col="row").select(F.col("doc_id").alias("row"), F.col("text").alias("cut"))
@@ -55,7 +67,12 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go.
+
+    Null and empty texts hold none and stay. Rows are judged one by one, whatever
+    their ids; copies stay or go together. An empty table gives no rows, and an
+    empty benchmark leaves all.
+    """
     tollgate.ship(spark)
     own = _rows(docs)
     leaks = contaminated(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row").select(F.col("doc_id").alias("row")).distinct()
@@ -63,7 +80,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences of 1024 tokens."""
+    """What is left, packed into sequences of 1024 tokens.
+
+    A null or empty text is one piece with the end id alone. Rows that share an
+    id, or have none, are packed one by one. An empty table gives no rows.
+    """
     tollgate.ship(spark)
     return pack_documents(docs, capacity=1024, end_id=2)
 
