@@ -102,3 +102,51 @@ def test_later_stages_tell_rows_apart_when_ids_do_not(spark):
     before = sorted((str(r.doc_id), r.text) for r in docs.collect())
     assert sorted((str(r.doc_id), r.text) for r in P.cut_repeated_strings(spark, docs, SF).collect()) == before
     assert sorted((str(r.doc_id), r.text) for r in P.drop_contaminated(spark, docs, SF).collect()) == [x for x in before if x[1] != item]
+
+
+def test_toxicity_stage_drops_what_the_operator_rejects(spark, stages):
+    from tollgate.llm.toxicity import toxicity
+
+    _, before, after = stages[0]
+    scored = toxicity(before, spark.read.parquet(f"{SF}/labels.parquet"), folds=4, fold=2, threshold=0.3)
+    clean = {r.doc_id for r in scored.collect() if r.score < 0.3}
+    assert {r.doc_id for r in after.collect()} == clean
+
+
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, row long, cut string, tag string, bucket int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty texts, ids that repeat, rows that repeat, a
+    long text, and columns with names that the stages use."""
+    words = [" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 30), ("b", 30), ("c", 40_000))]
+    rows = [(None, None), (None, ""), (None, words[0]), (5, words[1]), (5, words[1]), (5, " "), (6, None), (7, words[2]), (8, "\t\n")]
+    return spark.createDataFrame([(i, t, None, None, None, 1, "x", None, 0) for i, t in rows], EXTRA)
+
+
+def shape(frame):
+    return sorted((str(r.doc_id), r.text or "") for r in frame.collect())
+
+
+@pytest.mark.parametrize("name, stage", P.STAGES[:-1])
+def test_stages_on_odd_tables(spark, odd, name, stage):
+    after = stage(spark, odd, SF)
+    assert after.columns == list(P.COLUMNS)
+    want = shape(odd)
+    if name == "near_dedup":
+        want.remove(("5", next(t for i, t in want if t.startswith("b0"))))
+    assert shape(after) == want
+    assert shape(stage(spark, odd.limit(0), SF)) == []
+
+
+def test_packing_of_odd_tables(spark, odd):
+    packed = P.pack_sequences(spark, odd, SF)
+    rows = packed.collect()
+    assert sorted(str(r.doc_id) for r in rows if r.piece == 0) == sorted(str(r.doc_id) for r in odd.collect())
+    at = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 1024
+    assert P.pack_sequences(spark, odd.limit(0), SF).count() == 0
