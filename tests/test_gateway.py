@@ -71,6 +71,16 @@ def test_model_and_tool_hops(spark):
     assert out == {1: "blocked", 2: "mutated", 3: "blocked", 4: "pass", 5: "pass", 6: "pass"}
 
 
+def test_outcomes_are_not_broadcast(spark):
+    body = F.expr("""concat('{"tools":[{"name":"a","description":"d', id, '"}]}')""")
+    messages = spark.range(50).select(F.col("id").alias("message_id"), F.lit("s").alias("session"), F.lit("response").alias("direction"), F.lit("tools/list").alias("method"), F.array(F.lit("one")).alias("services"), body.alias("body"))
+    hops = G.tool_hops(messages).withColumn("action", F.expr("CASE WHEN message_id % 2 = 0 THEN 'block' ELSE 'allow' END")).withColumn("redactions", F.array().cast("array<struct<part:int,start:int,end:int>>"))
+    sent = G.outcomes(messages.unionByName(messages.withColumn("message_id", F.col("message_id") + 50)), hops)
+    assert {r.message_id: r.outcome for r in sent.collect()} == {i: "mutated" if i < 50 and i % 2 == 0 else "pass" for i in range(100)}
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_bodies_hooks_and_verdict_json(spark):
     chunks = spark.createDataFrame([(1, 2, "c"), (1, 0, "a"), (1, 1, "b"), (2, 0, "x")], "stream int, seq int, chunk string")
     assert {r.stream: r.body for r in G.bodies(chunks).collect()} == {1: "abc", 2: "x"}

@@ -343,14 +343,18 @@ def write_back(body: str, decided: list[dict]) -> tuple[str, str]:
 
 def outcomes(messages: DataFrame, decided: DataFrame) -> DataFrame:
     """What the gateway sends on: message_id, outcome, body. ``decided``: hops with
-    message_id, seq, surface, action, paths, parts, redactions."""
+    message_id, seq, surface, action, paths, parts, redactions.
+
+    The join is by sort and merge: Spark's estimate of the collected hops is far
+    below their size, and it would send all of them to the driver to broadcast.
+    """
     hops = decided.groupBy("message_id").agg(F.collect_list(F.struct("seq", "surface", "action", "paths", "parts", "redactions")).alias("hops"))
 
     @F.pandas_udf("struct<outcome:string,body:string>")
     def run(body: pd.Series, found: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([write_back(b, [dict(h) for h in hs]) if hs is not None else ("pass", b) for b, hs in zip(body, found, strict=True)], columns=["outcome", "body"])
 
-    return messages.join(hops, "message_id", "left").withColumn("o", run("body", "hops")).select("message_id", "o.outcome", "o.body")
+    return messages.join(hops.hint("merge"), "message_id", "left").withColumn("o", run("body", "hops")).select("message_id", "o.outcome", "o.body")
 
 
 # Plain inspection requests.
