@@ -75,3 +75,35 @@ def test_evals(spark, tmp_path):
     (tmp_path / "two.json").write_text(json.dumps(cases[:1]))
     with pytest.raises(ValueError, match="duplicate"):
         evals.load_cases(spark, str(tmp_path))
+
+
+def test_gate_finds_what_check_finds(spark):
+    kind = "id string, expected array<string>, produced array<string>, missing array<string>, extra array<string>, passed boolean"
+
+    def run(*cases):
+        rows = [(i, want, got, sorted(set(want) - set(got)), sorted(set(got) - set(want)), want == got) for i, want, got in cases]
+        return spark.createDataFrame(rows, kind)
+
+    a, b = ["pii/email"], ["secrets/aws_key"]
+    baseline = run(("1", a, a), ("2", a, a), ("2", a, []), ("3", b, b), ("4", b, []), ("5", [], []), ("6", [], []), ("6", a, a))
+    for now in (baseline, run(("1", a, []), ("2", a, []), ("2", a, a), ("5", [], a), ("6", a, []), ("6", [], a), ("7", a, a)), run(), run(("4", b, b), ("5", [], []))):
+        for x, y in ((now, baseline), (baseline, now)):
+            assert sorted(r.failure for r in evals.gate(x, y).collect()) == evals.check(evals.summarize(x), evals.summarize(y))
+
+
+def test_gate_brings_no_cases_to_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tollgate.plans.boundary import eval_gate
+
+    seen, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        seen.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    frame = eval_gate(spark, "/root/testdata/sf0.001")
+    assert max(seen) <= 2
+    assert len(frame.collect()) == 5

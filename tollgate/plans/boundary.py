@@ -189,9 +189,8 @@ def eval_gate(spark: SparkSession, sf: str) -> DataFrame:
     """A run held against its baseline: cases that passed and scores that fell."""
     label, none = F.array(F.lit("pii/email")), F.array().cast("array<string>")
 
-    def run(lost: Column) -> dict:
+    def run(lost: Column) -> DataFrame:
         cases = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), label.alias("expected"), F.when(lost, none).otherwise(label).alias("produced"))
-        return evals.summarize(cases.withColumns({"missing": F.array_except("expected", "produced"), "extra": F.array_except("produced", "expected"), "passed": ~lost}))
+        return cases.withColumns({"missing": F.array_except("expected", "produced"), "extra": F.array_except("produced", "expected"), "passed": ~lost})
 
-    failures = evals.check(run(F.expr("id % 200 = 7")), run(F.lit(False)))
-    return spark.createDataFrame([(f,) for f in failures], "failure string")
+    return evals.gate(run(F.expr("id % 200 = 7")), run(F.lit(False)))

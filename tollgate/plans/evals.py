@@ -64,19 +64,24 @@ def confusion(results: DataFrame) -> DataFrame:
     return every.groupBy("detector").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("tp", "fp", "fn")))
 
 
-def summarize(results: DataFrame) -> dict:
-    """Counts, false-positive rate over cases that expect nothing, scores per detector, outcome per case."""
-    rows = results.select("id", "passed", (F.size("expected") == 0).alias("negative"), (F.size("produced") > 0).alias("loud")).collect()
-    negatives = [r for r in rows if r.negative]
+def totals(results: DataFrame) -> dict:
+    """Counts, false-positive rate over cases that expect nothing, scores per detector. Only sums leave Spark."""
+    negative = F.size("expected") == 0
+    n = results.agg(F.count(F.lit(1)).alias("cases"), F.count(F.when(negative, 1)).alias("negatives"), F.count(F.when(negative & (F.size("produced") > 0), 1)).alias("loud")).collect()[0]
     scores = {}
     for r in confusion(results).collect():
         p, q = _ratio(r.tp, r.tp + r.fp), _ratio(r.tp, r.tp + r.fn)
         scores[r.detector] = {"tp": r.tp, "fp": r.fp, "fn": r.fn, "precision": p, "recall": q, "f1": _round(2 * p * q / (p + q)) if p + q else 0.0}
-    return {"cases": len(rows), "negatives": len(negatives), "fp_rate": _round(sum(r.loud for r in negatives) / len(negatives)) if negatives else 0.0, "per_detector": dict(sorted(scores.items())), "per_case": {r.id: r.passed for r in sorted(rows)}}
+    return {"cases": n.cases, "negatives": n.negatives, "fp_rate": _round(n.loud / n.negatives) if n.negatives else 0.0, "per_detector": dict(sorted(scores.items()))}
 
 
-def check(now: dict, baseline: dict) -> list[str]:
-    """What got worse than the baseline, sorted. A case that passed may not fail, whatever the means say."""
+def summarize(results: DataFrame) -> dict:
+    """:func:`totals` and the outcome of every case, for a report or a baseline file; all cases go to the driver."""
+    return totals(results) | {"per_case": {r.id: r.passed for r in sorted(results.select("id", "passed").collect())}}
+
+
+def _worse(now: dict, baseline: dict) -> list[str]:
+    """What :func:`totals` say that got worse."""
     out = []
     if now["cases"] != baseline["cases"]:
         out.append(f"case count {now['cases']} differs from the baseline's {baseline['cases']}")
@@ -88,14 +93,38 @@ def check(now: dict, baseline: dict) -> list[str]:
             out.append(f"detector {name} reported nothing")
             continue
         out += [f"{name}: {m} {got[m]:.4f} is below the baseline's {want[m]:.4f}" for m in ("precision", "recall") if got[m] < want[m] - TOLERANCE]
+    return out
+
+
+_NOT_RUN, _FAILS = "was not run", "passed in the baseline and fails now"
+
+
+def check(now: dict, baseline: dict) -> list[str]:
+    """What got worse than the baseline, sorted. A case that passed may not fail, whatever the means say."""
+    out = _worse(now, baseline)
     for case, passed in baseline["per_case"].items():
         if case not in now["per_case"]:
-            out.append(f"case {case} was not run")
+            out.append(f"case {case} {_NOT_RUN}")
         elif passed and not now["per_case"][case]:
-            out.append(f"case {case} passed in the baseline and fails now")
+            out.append(f"case {case} {_FAILS}")
     return sorted(out)
 
 
+def gate(now: DataFrame, baseline: DataFrame) -> DataFrame:
+    """:func:`check` of two runs' results, as rows (failure) in any order.
+
+    Cases are held against each other by one shuffle of ids, and none goes to the
+    driver. Of rows that share an id one that passed counts, as in a summary. Both
+    frames are read several times.
+    """
+    said, passed, none = _worse(totals(now), totals(baseline)), F.coalesce("passed", F.lit(False)), F.lit(None).cast("boolean")
+    both = now.select("id", passed.alias("now"), none.alias("then")).unionByName(baseline.select("id", none.alias("now"), passed.alias("then")))
+    cases = both.groupBy("id").agg(F.max("now").alias("now"), F.max("then").alias("then")).where("then is not null and (now is null or then and not now)")
+    why = F.when(F.col("now").isNull(), _NOT_RUN).otherwise(_FAILS)
+    failed = cases.select(F.concat_ws(" ", F.lit("case"), F.coalesce(F.col("id").cast("string"), F.lit("None")), why).alias("failure"))
+    return failed.unionByName(now.sparkSession.createDataFrame([(f,) for f in said], "failure string"))
+
+
 def write_baseline(path: str, subset: str, summary: dict) -> None:
     """Merge a summary into the baseline file under its subset's key."""
     try:
